@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing
+from . import chat, decontaminate, mixing, simhash, topk
 
 QUERIES = {
+    "op1_exact_topk": topk.op1_exact_topk,
     "op4_chat_formatting": chat.op4_chat_formatting,
     "op7_decontamination": decontaminate.op7_decontamination,
+    "op8_simhash": simhash.op8_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
 
 SQL = {
+    "op1_exact_topk": topk.OP1_SQL,
     "op4_chat_formatting": chat.OP4_SQL,
     "op7_decontamination": decontaminate.OP7_SQL,
     "op10_mixing": mixing.OP10_SQL,
