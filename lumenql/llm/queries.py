@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, simhash, topk
+from . import chat, decontaminate, mixing, quality, simhash, spans, topk
 
 QUERIES = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op2_quality": quality.op2_quality,
     "op4_chat_formatting": chat.op4_chat_formatting,
+    "op5_substring_dedup": spans.op5_substring_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_simhash": simhash.op8_simhash,
     "op10_mixing": mixing.op10_mixing,

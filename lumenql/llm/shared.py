@@ -66,12 +66,14 @@ def clear() -> None:
             return
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``limit`` rows. Beyond
-    that the join is left to shuffle (and to adaptive skew splitting).
-
-    ``df`` should be materialised: its rows are counted here."""
-    return F.broadcast(df) if df.count() <= limit else df
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS, weight: Column | None = None):
+    """``df`` with a broadcast hint if it has at most ``limit`` rows (or, with
+    ``weight``, if the weights of its rows sum to ``limit`` at most). Beyond
+    that the join is left to shuffle, and to adaptive skew splitting.
+
+    ``df`` should be materialised: it is counted here."""
+    size = df.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0
+    return F.broadcast(df) if size <= limit else df
 
 
 def python_batches(spark: SparkSession, rows: int = 512) -> None:
