@@ -65,7 +65,7 @@ def pieces(text: bytes) -> list[tuple[int, bytes, int]]:
                     held = []
         else:
             held += words
-        if held and (len(held) >= PIECE_LEAST or zlib.crc32(held[-1]) & 3 == 0):
+        if held and (len(words) >= PIECE_LEAST or zlib.crc32(held[-1]) & 3 == 0):
             out.append((end, b" ".join(held), len(held)))
             held = []
     if held:
