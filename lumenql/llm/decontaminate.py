@@ -16,10 +16,10 @@ are judged one by one; extra columns stay, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialise, small_side, table, words
+from .shared import ALNUM_GAP, LOWER, UPPER, free_name, materialise, small_side, table, words
 
 N = 13
 #: A document is contaminated if at least 1 / SHARE of its words are hit.
@@ -65,89 +65,91 @@ def _hits(w: str, windows: list) -> str:
     return found[0] if len(found) == 1 else f"concat({', '.join(found)})"
 
 
-def find_hits(
-    docs: DataFrame, bench: DataFrame, n: int = N, text: str = "text", item: str = "item_id"
-) -> tuple[DataFrame, str, str, DataFrame]:
-    """``docs`` with its words and hits: the frame, the names of these two
-    columns, and the windows."""
+def _each(text: str, hits: str, body: str) -> str:
+    """SQL for ``body`` over w (words of a text) and h (its hits). Both are bound
+    as lambda variables, so each is computed once for a row wherever the
+    optimizer moves the expression."""
+    w = (
+        f"array_remove(split(translate(coalesce(`{text}`, ''), '{UPPER}', '{LOWER}'), r'{ALNUM_GAP}'), '')"
+    )
+    return f"get(transform(array({w}), w -> get(transform(array({hits}), h -> {body}), 0)), 0)"
+
+
+#: SQL over h: places of hit words, and their number.
+_COVERED = "array_distinct(flatten(transform(h, x -> sequence(x.at, x.at + x.len - 1))))"
+_N_HIT = f"if(size(h) = 0, 0L, cast(size({_COVERED}) AS long))"
+_BAD = f"size(h) > 0 AND {SHARE} * {_N_HIT} >= size(w)"
+
+
+def with_hits(
+    docs: DataFrame,
+    bench: DataFrame,
+    bodies: dict[str, str],
+    n: int = N,
+    text: str = "text",
+    item: str = "item_id",
+) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with a column for each of ``bodies`` (SQL over w and h, in one
+    struct ``deco``), and the benchmark's windows."""
     windows = materialise(
-        item_windows(bench, n, text, item).withColumn(
-            "hash", F.xxhash64(F.split("window", " "))
-        ),
+        item_windows(bench, n, text, item).withColumn("hash", F.xxhash64(F.split("window", " "))),
         "bench-windows",
     )
-    w, h = free_name(docs, "deco_words"), free_name(docs, "deco_hits")
-    keyed = docs.withColumn(w, words(F.col(text)))
+    body = f"named_struct({', '.join(f'{k!r}, {v}' for k, v in bodies.items())})"
     count = windows.count()
     if count <= CHUNK:
         own = windows.select("window", "len", "hash").collect()
-        return keyed.withColumn(h, F.expr(_hits(f"`{w}`", own))), w, h, windows
+        return docs.withColumn("deco", F.expr(_each(text, _hits("w", own), body))), windows
     # A larger set goes over the documents in bounded parts, joined by a row key
     # that is fixed by a written table.
     key = free_name(docs, "deco_key")
-    keyed = materialise(keyed.withColumn(key, F.monotonically_increasing_id()), "deco-docs")
+    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "deco-docs")
     parts = -(-count // CHUNK) + 1
     numbered = windows.withColumn("part", F.pmod("hash", F.lit(parts)))
     found = None
     for part in range(parts):
         own = numbered.filter(F.col("part") == part).select("window", "len", "hash").collect()
-        some = keyed.select(key, F.explode(F.expr(_hits(f"`{w}`", own))).alias(h))
+        some = keyed.select(key, F.explode(F.expr(_each(text, _hits("w", own), "h"))).alias("hit"))
         found = some if found is None else found.unionByName(some)
-    grouped = found.groupBy(key).agg(F.collect_list(h).alias(h))
-    none = F.expr("cast(array() AS array<struct<at: int, len: int>>)")
-    out = keyed.join(grouped, key, "left").withColumn(h, F.coalesce(F.col(h), none)).drop(key)
-    return out, w, h, windows
-
-
-def hit_words(h: str) -> Column:
-    """How many words lie in some hit."""
-    return F.expr(
-        f"cast(size(array_distinct(flatten(transform(`{h}`, x -> sequence(x.at, x.at + x.len - 1))))) AS long)"
-    )
-
-
-def is_contaminated(n_hit: Column, n_words: Column) -> Column:
-    return (n_hit > 0) & (SHARE * n_hit >= n_words)
+    hits = free_name(docs, "deco_hits")
+    grouped = found.groupBy(key).agg(F.collect_list("hit").alias(hits))
+    own = f"coalesce(`{hits}`, cast(array() AS array<struct<at: int, len: int>>))"
+    joined = keyed.join(grouped, key, "left")
+    return joined.withColumn("deco", F.expr(_each(text, own, body))).drop(key, hits), windows
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     """``docs`` without its contaminated documents, columns as they were."""
-    marked, w, h, _ = find_hits(docs, bench, n)
-    bad = is_contaminated(hit_words(h), F.size(w))
-    return marked.filter((F.size(h) == 0) | ~bad).select(*docs.columns)
+    marked, _ = with_hits(docs, bench, {"bad": _BAD}, n)
+    return marked.filter(~F.col("deco.bad")).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, n: int = N, text: str = "text") -> DataFrame:
     """``docs`` with hit words cut out of the texts (of texts with hits, the
     words that stay are joined by single spaces)."""
-    marked, w, h, _ = find_hits(docs, bench, n, text)
-    covered = f"array_distinct(flatten(transform(`{h}`, x -> sequence(x.at, x.at + x.len - 1))))"
-    kept = F.expr(
-        f"array_join(transform(array_except(sequence(1, size(`{w}`)), {covered}), i -> element_at(`{w}`, i)), ' ')"
-    )
-    return marked.withColumn(text, F.when(F.size(h) > 0, kept).otherwise(F.col(text))).select(
-        *docs.columns
-    )
+    kept = f"array_join(transform(array_except(sequence(1, size(w)), {_COVERED}), i -> element_at(w, i)), ' ')"
+    marked, _ = with_hits(docs, bench, {"kept": f"if(size(h) > 0, {kept}, NULL)"}, n, text)
+    return marked.withColumn(text, F.coalesce("deco.kept", text)).select(*docs.columns)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, n: int = N, key: str = "doc_id") -> DataFrame:
     """For each document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    marked, w, h, windows = find_hits(docs.select(key, "text"), bench, n)
+    found = "array_distinct(transform(h, x -> array_join(slice(w, x.at, x.len), ' ')))"
+    marked, windows = with_hits(
+        docs.select(key, "text"),
+        bench,
+        {"n_words": "cast(size(w) AS long)", "n_hit": _N_HIT, "bad": _BAD, "found": found},
+        n,
+    )
     row = "deco_row"
-    rows = marked.select(
-        F.monotonically_increasing_id().alias(row),
-        F.col(key),
-        F.size(w).cast("long").alias("n_words"),
-        F.when(F.size(h) == 0, F.lit(0)).otherwise(hit_words(h)).cast("long").alias("n_hit"),
-        F.expr(
-            f"array_distinct(transform(`{h}`, x -> array_join(slice(`{w}`, x.at, x.len), ' ')))"
-        ).alias("found"),
+    rows = marked.select(F.monotonically_increasing_id().alias(row), key, "deco")
+    each = rows.select(
+        row, key, "deco.n_words", "deco.n_hit", "deco.bad", F.explode_outer("deco.found").alias("window")
     )
-    each = rows.select(row, key, "n_words", "n_hit", F.explode_outer("found").alias("window"))
     owners = small_side(windows.select("window", "items"))
     grouped = (
         each.join(owners, "window", "left")
-        .groupBy(row, key, "n_words", "n_hit")
+        .groupBy(row, key, "n_words", "n_hit", "bad")
         .agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     )
     return grouped.select(
@@ -156,7 +158,7 @@ def contamination(docs: DataFrame, bench: DataFrame, n: int = N, key: str = "doc
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
-        is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+        F.col("bad").alias("contaminated"),
     )
 
 
