@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .registry import query
 
+
+@query(
+    """SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n_items
+    FROM lineitem, orders, customer, nation
+    WHERE l_orderkey = o_orderkey AND o_custkey = c_custkey AND c_nationkey = n_nationkey
+      AND o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'
+    GROUP BY n_name HAVING count(*) > 10"""
+)
 def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     recent = t("orders").filter(F.col("o_orderdate") >= F.expr("TIMESTAMP_NTZ '1998-01-01 00:00:00'"))
