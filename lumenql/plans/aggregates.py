@@ -9,21 +9,24 @@ from ..operators.grouping import with_multiplicity
 from .registry import query, table as t
 
 c = F.col
-n = F.count("*").alias("n")
 FLAGS = ("l_returnflag", "l_linestatus")
 
 
+def n():
+    return F.count("*").alias("n")
+
+
 @query("SELECT count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(avg(l_discount), 6) AS discount FROM lineitem")
 def agg_global(spark, d):
     return t(spark, d, "lineitem").agg(
-        n, F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount")
+        n(), F.round(F.sum("l_quantity"), 2).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount")
     )
 
 
 @query("SELECT count(*) AS n, sum(l_quantity) AS quantity, max(l_returnflag) AS flag FROM lineitem WHERE l_quantity < 0")
 def agg_empty(spark, d):
     none = t(spark, d, "lineitem").filter(c("l_quantity") < 0)
-    return none.agg(n, F.sum("l_quantity").alias("quantity"), F.max("l_returnflag").alias("flag"))
+    return none.agg(n(), F.sum("l_quantity").alias("quantity"), F.max("l_returnflag").alias("flag"))
 
 
 @query("SELECT l_returnflag, round(sum(l_extendedprice), 2) AS price, cast(sum(l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY l_returnflag")
@@ -35,14 +38,14 @@ def agg_sum(spark, d):
 
 @query("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY o_orderstatus")
 def agg_count_star(spark, d):
-    return t(spark, d, "orders").groupBy("o_orderstatus").agg(n)
+    return t(spark, d, "orders").groupBy("o_orderstatus").agg(n())
 
 
 @query("SELECT n_regionkey, count(s_suppkey) AS suppliers, count(*) AS n FROM nation LEFT JOIN (SELECT * FROM supplier WHERE s_nationkey < 12) ON n_nationkey = s_nationkey GROUP BY n_regionkey")
 def agg_count_col(spark, d):
     few = t(spark, d, "supplier").filter(c("s_nationkey") < 12)
     joined = t(spark, d, "nation").join(few, c("n_nationkey") == c("s_nationkey"), "left")
-    return joined.groupBy("n_regionkey").agg(F.count("s_suppkey").alias("suppliers"), n)
+    return joined.groupBy("n_regionkey").agg(F.count("s_suppkey").alias("suppliers"), n())
 
 
 @query("SELECT p_brand, round(avg(p_retailprice), 6) AS price FROM part GROUP BY p_brand")
@@ -85,13 +88,13 @@ def agg_count_distinct(spark, d):
 
 @query("SELECT p_brand, count(*) AS n FROM part GROUP BY p_brand")
 def group_by_single(spark, d):
-    return t(spark, d, "part").groupBy("p_brand").agg(n)
+    return t(spark, d, "part").groupBy("p_brand").agg(n())
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem GROUP BY l_returnflag, l_linestatus")
 def group_by_multi(spark, d):
     return t(spark, d, "lineitem").groupBy(*FLAGS).agg(
-        n,
+        n(),
         F.round(F.sum("l_quantity"), 2).alias("quantity"),
         F.round(F.sum(c("l_extendedprice") * (1 - c("l_discount"))), 2).alias("revenue"),
     )
@@ -99,12 +102,12 @@ def group_by_multi(spark, d):
 
 @query("SELECT count(*) AS n FROM orders GROUP BY o_orderpriority, o_orderstatus")
 def group_by_hidden_key(spark, d):
-    return t(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(n).select("n")
+    return t(spark, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(n()).select("n")
 
 
 @query("SELECT l_suppkey, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_suppkey HAVING count(*) > 550 AND sum(l_quantity) < 16000")
 def having(spark, d):
-    g = t(spark, d, "lineitem").groupBy("l_suppkey").agg(n, F.sum("l_quantity").alias("q"))
+    g = t(spark, d, "lineitem").groupBy("l_suppkey").agg(n(), F.sum("l_quantity").alias("q"))
     return g.filter((c("n") > 550) & (c("q") < 16000)).select("l_suppkey", "n", F.round("q", 2).alias("quantity"))
 
 
