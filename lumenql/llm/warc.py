@@ -42,15 +42,19 @@ MIN_REVISIT_BYTES = 0
 
 
 def digest(payload: Column) -> Column:
-    """Bare upper-case base32 SHA-1: 32 groups of 5 bits of 40 hex digits."""
-    hexes = F.concat(F.sha1(payload), F.lit("00"))
+    """Bare upper-case base32 SHA-1: 32 groups of 5 bits of 40 hex digits. The
+    hash is bound as a lambda variable, so that it is computed once."""
 
-    def group(i: Column) -> Column:
-        twelve = F.conv(F.substring(hexes, F.floor(i * 5 / 4).cast("int") + 1, F.lit(3)), 16, 10)
-        five = F.floor(twelve.cast("int") / F.pow(F.lit(2), 7 - (i * 5) % 4)) % 32
-        return F.substring(F.lit(BASE32), five.cast("int") + 1, F.lit(1))
+    def coded(hexes: Column) -> Column:
+        def group(i: Column) -> Column:
+            at = F.floor(i * 5 / 4).cast("int") + 1
+            twelve = F.conv(F.substring(hexes, at, F.lit(3)), 16, 10).cast("int")
+            five = F.floor(twelve / F.pow(F.lit(2), 7 - (i * 5) % 4)) % 32
+            return F.substring(F.lit(BASE32), five.cast("int") + 1, F.lit(1))
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), group), "")
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), group), "")
+
+    return F.get(F.transform(F.array(F.concat(F.sha1(payload), F.lit("00"))), coded), F.lit(0))
 
 
 def with_revisits(pages: DataFrame, least: int = MIN_REVISIT_BYTES) -> DataFrame:
@@ -308,7 +312,8 @@ def entries(links: DataFrame) -> DataFrame:
     most = blocks.groupBy("file").count().agg(F.max("count")).first()[0] or 0
     if most <= 1:
         return blocks.withColumn("entry", F.lit(0).cast("long"))
-    placed = links.filter(F.col("start").isNotNull()).join(blocks, ["file", "block"])
+    # merge joins: these tables grow with the records, however well they compress
+    placed = links.filter(F.col("start").isNotNull()).hint("merge").join(blocks, ["file", "block"])
     jump = materialise(
         placed.select(
             "file",
@@ -323,13 +328,13 @@ def entries(links: DataFrame) -> DataFrame:
     reach = blocks.select("file").distinct().withColumn("at", F.lit(0).cast("long"))
     link = jump.select("file", "at", "to")
     for _ in range(math.ceil(math.log2(most)) + 1):
-        more = reach.join(link, ["file", "at"]).select("file", F.col("to").alias("at"))
+        more = reach.join(link.hint("merge"), ["file", "at"]).select("file", F.col("to").alias("at"))
         reach = materialise(reach.union(more).distinct(), "warc-reach")
         far = link.select("file", F.col("at").alias("to"), F.col("to").alias("next"))
         link = materialise(
-            link.join(far, ["file", "to"]).select("file", "at", F.col("next").alias("to")), "warc-link"
+            link.hint("merge").join(far, ["file", "to"]).select("file", "at", F.col("next").alias("to")), "warc-link"
         )
-    first = known.join(reach, ["file", "at"]).groupBy("file", "block").agg(F.min("at").alias("at"))
+    first = known.hint("merge").join(reach, ["file", "at"]).groupBy("file", "block").agg(F.min("at").alias("at"))
     return blocks.join(first, ["file", "block"], "left").select(
         "file", "block", "base", (F.col("at") - F.col("base")).alias("entry")
     )
