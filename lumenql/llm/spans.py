@@ -146,13 +146,14 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     )
     each = spans.select("span_doc", "span_row", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h"))
     each = each.select("span_doc", "span_row", "at", "h.h1", "h.h2")
-    some = materialise(each.join(small_side(often), "h1"), "span-candidates")
+    # merge joins at every size: these lists grow with the corpus
+    some = materialise(each.join(often.hint("merge"), "h1"), "span-candidates")
     place = F.struct(F.col("span_doc").isNull().alias("missing"), "span_doc", "span_row", "at")
     first = materialise(
         some.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"),
         "span-first",
     )
-    late = some.join(small_side(first, BROADCAST_BYTES, F.lit(56)), ["h1", "h2"]).filter(place != F.col("first"))
+    late = some.join(first.hint("merge"), ["h1", "h2"]).filter(place != F.col("first"))
     return materialise(
         late.groupBy("span_doc", "span_row").agg(F.collect_set("at").alias("starts")), "span-removals"
     )
