@@ -45,6 +45,9 @@ COMMON, MARKS = 3000, 1024
 #: A mark is this much more frequent in toxic text than in ordinary text, even
 #: if its count there is high by one standard deviation.
 RATIO = 5.0
+#: And it is in one of so many toxic texts at least (rarer ones are those of a
+#: few copied texts).
+MARK_SHARE = 40
 
 _GAPS = bytes([*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _TO_WORDS = bytes.maketrans(_GAPS, b" " * len(_GAPS))
@@ -155,7 +158,7 @@ def train(texts: DataFrame) -> Distance:
     counts = materialise(counts, "toxic-stems")
     sure = F.col("toxic") - F.sqrt("toxic")
     marks = counts.filter(
-        (F.col("toxic") >= max(3, n[1] // 100))
+        (F.col("toxic") >= max(3, n[1] // MARK_SHARE))
         & (sure * n[0] >= RATIO * n[1] * (F.col("ordinary") + 0.5))
     )
     marks = marks.orderBy(F.col("toxic").desc(), "stem").limit(MARKS).collect()
