@@ -24,9 +24,11 @@ from .shared import SPACE_WORD, free_name, materialise, small_side, table
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = "lumen"
-#: Hexadecimal digits of the seeded key that name a bucket; the order within a
-#: source is settled bucket by bucket, and row by row only in one bucket.
-BUCKET_DIGITS = 4
+#: Hexadecimal digits of the seeded key that name a coarse and a fine bucket.
+#: A source's order is settled by coarse buckets, by the fine ones of one coarse
+#: bucket, and row by row only in one fine bucket: a source of any size gives a
+#: task at most 256 buckets.
+COARSE_DIGITS, BUCKET_DIGITS = 2, 4
 
 
 def size_of(text: Column) -> Column:
@@ -85,6 +87,19 @@ def fill(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> D
     ).select("source", "words", "target")
 
 
+def _cut(cells: DataFrame, per: DataFrame, start: Column) -> DataFrame:
+    """(source, edge): the first bucket of ``cells`` at which the words so far,
+    from ``start`` on, are more than the source's ``part``, and those before it."""
+    so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    run = cells.withColumn("upto", start + F.sum("words").over(so_far)).alias("b")
+    return (
+        run.join(per.select(F.col("source").alias("of"), "part").alias("p"), F.col("source").eqNullSafe(F.col("of")))
+        .filter(F.col("upto") > F.col("part"))
+        .groupBy("source")
+        .agg(F.min(F.struct("bucket", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
+    )
+
+
 def mix(
     docs: DataFrame,
     weights=WEIGHTS,
@@ -123,19 +138,13 @@ def mix(
     per = per.withColumn(
         "part", F.floor(F.col("target") - F.col("whole") * F.col("words")).cast("long")
     )
-    upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
-    edge = (  # the bucket of each source in which its seeded order is cut
-        sums.withColumn("upto", F.sum("words").over(upto))
-        .alias("b")
-        .join(per.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source")))
-        .filter(F.col("b.upto") > F.col("part"))
-        .groupBy(F.col("b.source").alias("source"))
-        .agg(
-            F.min(F.struct("bucket", (F.col("b.upto") - F.col("b.words")).alias("before"))).alias(
-                "edge"
-            )
-        )
+    coarse = F.substring("bucket", 1, COARSE_DIGITS)
+    most = _cut(sums.groupBy("source", coarse.alias("bucket")).agg(F.sum("words").alias("words")), per, F.lit(0))
+    least = sums.alias("f").join(
+        most.select(F.col("source").alias("of"), "edge").alias("c"),
+        F.col("f.source").eqNullSafe(F.col("of")) & (F.substring("f.bucket", 1, COARSE_DIGITS) == F.col("edge.bucket")),
     )
+    edge = _cut(least.select("f.source", "f.bucket", "f.words", F.col("edge.before").alias("start")), per, F.col("start"))
     info = materialise(
         per.alias("p")
         .join(edge.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source")), "left")
