@@ -88,9 +88,10 @@ def with_hits(
     n: int = N,
     text: str = "text",
     item: str = "item_id",
-) -> tuple[DataFrame, DataFrame]:
-    """``docs`` with a column for each of ``bodies`` (SQL over w and h, in one
-    struct ``deco``), and the benchmark's windows."""
+) -> tuple[DataFrame, str, DataFrame]:
+    """``docs`` with a struct of ``bodies`` (SQL over w and h), the struct's
+    name, and the benchmark's windows."""
+    deco = free_name(docs, "deco")
     windows = materialise(
         item_windows(bench, n, text, item).withColumn("hash", F.xxhash64(F.split("window", " "))),
         "bench-windows",
@@ -99,7 +100,7 @@ def with_hits(
     count = windows.count()
     if count <= CHUNK:
         own = windows.select("window", "len", "hash").collect()
-        return docs.withColumn("deco", F.expr(_each(text, _hits("w", own), body))), windows
+        return docs.withColumn(deco, F.expr(_each(text, _hits("w", own), body))), deco, windows
     # A larger set goes over the documents in bounded parts, joined by a row key
     # that is fixed by a written table.
     key = free_name(docs, "deco_key")
@@ -115,27 +116,27 @@ def with_hits(
     grouped = found.groupBy(key).agg(F.collect_list("hit").alias(hits))
     own = f"coalesce(`{hits}`, cast(array() AS array<struct<at: int, len: int>>))"
     joined = keyed.join(grouped, key, "left")
-    return joined.withColumn("deco", F.expr(_each(text, own, body))).drop(key, hits), windows
+    return joined.withColumn(deco, F.expr(_each(text, own, body))).drop(key, hits), deco, windows
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     """``docs`` without its contaminated documents, columns as they were."""
-    marked, _ = with_hits(docs, bench, {"bad": _BAD}, n)
-    return marked.filter(~F.col("deco.bad")).select(*docs.columns)
+    marked, deco, _ = with_hits(docs, bench, {"bad": _BAD}, n)
+    return marked.filter(~F.col(f"{deco}.bad")).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, n: int = N, text: str = "text") -> DataFrame:
     """``docs`` with hit words cut out of the texts (of texts with hits, the
     words that stay are joined by single spaces)."""
     kept = f"array_join(transform(array_except(sequence(1, size(w)), {_COVERED}), i -> element_at(w, i)), ' ')"
-    marked, _ = with_hits(docs, bench, {"kept": f"if(size(h) > 0, {kept}, NULL)"}, n, text)
-    return marked.withColumn(text, F.coalesce("deco.kept", text)).select(*docs.columns)
+    marked, deco, _ = with_hits(docs, bench, {"kept": f"if(size(h) > 0, {kept}, NULL)"}, n, text)
+    return marked.withColumn(text, F.coalesce(f"{deco}.kept", text)).select(*docs.columns)
 
 
 def contamination(docs: DataFrame, bench: DataFrame, n: int = N, key: str = "doc_id") -> DataFrame:
     """For each document: n_words, n_hit, n_items, items_sha256, contaminated."""
     found = "array_distinct(transform(h, x -> array_join(slice(w, x.at, x.len), ' ')))"
-    marked, windows = with_hits(
+    marked, _, windows = with_hits(
         docs.select(key, "text"),
         bench,
         {"n_words": "cast(size(w) AS long)", "n_hit": _N_HIT, "bad": _BAD, "found": found},

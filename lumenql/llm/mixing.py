@@ -111,7 +111,9 @@ def mix(
 ) -> DataFrame:
     """``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target`` and
     ``mix_taken`` (words that the mix takes, repetitions counted)."""
-    rank, bucket = free_name(docs, "mix_rank"), free_name(docs, "mix_bucket")
+    rank, bucket, own, extra = (
+        free_name(docs, n) for n in ("mix_rank", "mix_bucket", "mix_info", "mix_extra")
+    )
     digest = F.md5(
         F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary")
     )
@@ -157,23 +159,23 @@ def mix(
                 "part",
                 F.coalesce("edge.bucket", F.lit("~")).alias("bucket"),
                 F.coalesce("edge.before", F.lit(0)).cast("long").alias("before"),
-            ).alias("mix_info")
+            ).alias(own)
         ),
         "mix-info",
     )
     joined = full.join(
-        small_side(info), F.col(source).eqNullSafe(F.col("mix_info.source"))
+        small_side(info), F.col(source).eqNullSafe(F.col(f"{own}.source"))
     )
     at = Window.partitionBy(source, bucket).orderBy(rank, F.col(key), "mix_size").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    i = "mix_info."
+    i = f"{own}."
     outside = joined.filter(F.col(bucket) != F.col(i + "bucket")).withColumn(
-        "mix_extra",
+        extra,
         F.when(F.col(bucket) < F.col(i + "bucket"), F.col("mix_size")).otherwise(F.lit(0)),
     )
     inside = joined.filter(F.col(bucket) == F.col(i + "bucket")).withColumn(
-        "mix_extra",
+        extra,
         F.greatest(
             F.lit(0),
             F.least(
@@ -190,12 +192,12 @@ def mix(
             {
                 "mix_source_size": F.col(i + "words"),
                 "mix_target": F.col(i + "target"),
-                "mix_taken": (F.col(i + "whole") * F.col("mix_size") + F.col("mix_extra")).cast(
+                "mix_taken": (F.col(i + "whole") * F.col("mix_size") + F.col(extra)).cast(
                     "long"
                 ),
             }
         )
-        .drop("mix_info", "mix_extra", rank, bucket)
+        .drop(own, extra, rank, bucket)
     )
 
 

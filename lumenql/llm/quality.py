@@ -213,7 +213,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", cutoff: f
     """``docs`` without the documents that score below ``cutoff``; texts go
     through the scorer in place and are never shuffled."""
     model = fit(materialise(document_statistics(docs, key), "quality-stats"), labels)
-    ok = free_name(docs, "quality_ok")
     body = free_name(docs, "quality_body")
 
     def judge(batches):

@@ -33,11 +33,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import materialise, python_batches, small_side, table
+from .shared import free_name, materialise, python_batches, small_side, table
 
 BITS = 64
 SHINGLE = 3
@@ -304,32 +304,26 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each component: that with the smallest
     doc id. Texts are not shuffled unless the list of those to go is large."""
-    from pyspark.sql import Window
-
     found = near_duplicates(docs, key, text)
     mine = (F.col("doc").eqNullSafe(F.col("first.doc"))) & (F.col("row_key") == F.col("first.row_key"))
     marks = materialise(
         found.groupBy("doc", "row_key").agg(F.min(mine).alias("mine"), F.count("*").alias("n")),
         "simhash-marks",
     )
-    k = "simhash_key"
+    k, doc, nth = (free_name(docs, n) for n in ("simhash_key", "simhash_doc", "simhash_nth"))
     keyed = docs.withColumn(k, F.xxhash64(F.col(key), F.col(text)))
-    gone = small_side(
-        materialise(marks.filter(~F.col("mine")).select(F.col("row_key").alias(k), F.col("doc").alias("simhash_doc")), "simhash-gone")
-    )
-    at = (keyed[k] == gone[k]) & F.col(key).cast("long").eqNullSafe(F.col("simhash_doc"))
+    losers = marks.filter(~F.col("mine")).select(F.col("row_key").alias(k), F.col("doc").alias(doc))
+    gone = small_side(materialise(losers, "simhash-gone"))
+    at = (keyed[k] == gone[k]) & F.col(key).cast("long").eqNullSafe(F.col(doc))
     rest = keyed.join(gone, at, "left_anti")
-    again = materialise(marks.filter(F.col("mine") & (F.col("n") > 1)).select(F.col("row_key").alias(k)), "simhash-again")
+    again = marks.filter(F.col("mine") & (F.col("n") > 1)).select(F.col("row_key").alias(k))
+    again = materialise(again, "simhash-again")
     if not again.limit(1).count():
         return rest.select(*docs.columns)
     again = small_side(again)  # whole rows that repeat: one of them stays
-    nth = F.row_number().over(Window.partitionBy(k).orderBy(k))
-    once = rest.join(again, k, "left_semi").withColumn("simhash_nth", nth)
-    return (
-        rest.join(again, k, "left_anti")
-        .select(*docs.columns)
-        .unionByName(once.filter(F.col("simhash_nth") == 1).select(*docs.columns))
-    )
+    place = F.row_number().over(Window.partitionBy(k).orderBy(k))
+    once = rest.join(again, k, "left_semi").withColumn(nth, place).filter(F.col(nth) == 1)
+    return rest.join(again, k, "left_anti").select(*docs.columns).unionByName(once.select(*docs.columns))
 
 
 def op8_simhash(spark, sf_dir):

@@ -106,22 +106,18 @@ def _hashes(batches):
         yield pa.RecordBatch.from_arrays([*b.select(names).columns, *arrays], [*names, "h1", "h2"])
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``docs`` with the columns that name its rows: span_doc and span_row."""
-    return docs.withColumns(
-        {
-            "span_doc": F.col(key).cast("long"),
-            "span_row": F.xxhash64(F.col(key), F.col(text)),
-        }
-    )
+def row_names(key: str, text: str) -> tuple:
+    """What names a row: its doc id, and a hash that tells texts apart."""
+    return F.col(key).cast("long"), F.xxhash64(F.col(key), F.col(text))
 
 
 def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(span_doc, span_row, starts): the runs of a document that repeat an
     earlier one, by the number of their first piece."""
     python_batches(docs.sparkSession)
-    own = keyed(docs, key, text).select(
-        "span_doc", "span_row", F.col(text).cast("binary").alias("body")
+    doc, row = row_names(key, text)
+    own = docs.select(
+        doc.alias("span_doc"), row.alias("span_row"), F.col(text).cast("binary").alias("body")
     )
     own = own.mapInArrow(_hashes, "span_doc long, span_row long, h1 array<long>, h2 array<long>")
     # whole copies of a row are one document: they must not repeat themselves
@@ -179,17 +175,21 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """``docs`` with repeated passages removed from its texts, and with
     span_pieces and span_removed (numbers of pieces, 0 if nothing was removed)."""
     found = removals(docs, key, text)
-    hidden = free_name(docs, "span_starts")
+    starts, doc, row, of_doc, of_row = (
+        free_name(docs, n) for n in ("span_starts", "span_doc", "span_row", "span_of_doc", "span_of_row")
+    )
     side = small_side(
         found.select(
-            F.col("span_doc").alias("gone_doc"), F.col("span_row").alias("gone_row"), F.col("starts").alias(hidden)
+            F.col("span_doc").alias(of_doc), F.col("span_row").alias(of_row), F.col("starts").alias(starts)
         ),
         BROADCAST_BYTES,
-        F.size(hidden) * 4 + 64,
+        F.size(starts) * 4 + 64,
+    )
+    own = docs.drop("span_pieces", "span_removed").withColumns(
+        dict(zip((doc, row), row_names(key, text), strict=True))
     )
-    own = keyed(docs.drop("span_pieces", "span_removed"), key, text)
-    at = (F.col("span_row") == F.col("gone_row")) & F.col("span_doc").eqNullSafe(F.col("gone_doc"))
-    joined = own.join(side, at, "left").drop("span_doc", "span_row", "gone_doc", "gone_row")
+    at = (F.col(row) == F.col(of_row)) & F.col(doc).eqNullSafe(F.col(of_doc))
+    joined = own.join(side, at, "left").drop(doc, row, of_doc, of_row)
     kept = [c for c in docs.columns if c not in ("span_pieces", "span_removed")]
 
     def cut(batches):

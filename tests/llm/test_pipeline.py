@@ -40,3 +40,23 @@ def test_stages_on_nulls_repeats_and_nothing(spark, data, stage):
     assert some.columns[:5] == schema.names
     some.collect()
     assert f(spark, spark.createDataFrame([], schema), data).collect() == []
+
+
+def test_operators_keep_columns_that_are_named_like_their_own(spark, data):
+    from lumenql.llm import decontaminate, mixing, quality, simhash, spans
+
+    names = "deco deco_key span_doc span_row span_starts simhash_key simhash_doc mix_info mix_rank quality_body".split()
+    text = "All of this is prose. It has words, and it has stops. Some of it says the same as before. " * 4
+    rows = [(i, text + str(i % 2), "en", "s", 1, *range(len(names))) for i in range(4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    t = lambda n: spark.read.parquet(f"{data}/{n}.parquet")
+    for out in (
+        quality.keep_good(docs, t("labels")),
+        simhash.keep_one(docs),
+        spans.without_repeats(docs),
+        decontaminate.drop_contaminated(docs, t("benchmark")),
+        decontaminate.remove_spans(docs, t("benchmark")),
+        mixing.mix(docs),
+    ):
+        assert [r[n] for r in out.collect() for n in names] == [*range(len(names))] * out.count()
