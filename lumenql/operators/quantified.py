@@ -21,7 +21,7 @@ def compare_quantified(left: DataFrame, value: Column, op: str, which: str, righ
     which = {"SOME": "ANY"}.get(which.upper(), which.upper())
     c = F.col(f"`{right.columns[0]}`")
     if (op, which) == ("=", "ANY"):
-        probe = right.select(c.alias("quant_value")).distinct()
+        probe = right.select(c.alias("quant_value"))
         return left.join(probe, value == F.col("quant_value"), "left_semi")
     # one row: what decides the comparison, whatever the subquery's size
     facts = right.agg(
@@ -35,7 +35,7 @@ def compare_quantified(left: DataFrame, value: Column, op: str, which: str, righ
     full = F.col("quant_rows") == F.col("quant_values")
     if which == "ALL":
         if op == "<>":  # NOT IN: null-aware, by the values themselves
-            probe = right.select(c.alias("quant_value")).distinct()
+            probe = right.select(c.alias("quant_value"))
             fits = joined.filter((F.col("quant_rows") == 0) | (full & value.isNotNull()))
             return fits.join(probe, value == F.col("quant_value"), "left_anti").select(*left.columns)
         bound = {"=": None, "<": low, "<=": low, ">": high, ">=": high}[op]
