@@ -27,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files give fewer tasks than there are (one
+    small file is one task, however much work its rows are). Tables of many
+    splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``,
     or a folder of our own where that is unset (single-machine tests)."""

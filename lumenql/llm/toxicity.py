@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialise, python_batches, table
+from .shared import materialise, python_batches, spread, table
 
 CUTOFF = 0.5
 FOLDS, HELD = 5, 0
@@ -243,7 +243,7 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str =
 def op9_toxicity(spark, sf_dir):
     from .quality import fold_of
 
-    found = scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    found = scores(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
     return found.select(
         F.col("doc").alias("doc_id"),
         (fold_of("doc", FOLDS) == HELD).alias("held_out"),
