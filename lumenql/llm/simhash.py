@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import free_name, materialise, python_batches, small_side, table
+from .shared import free_name, materialise, python_batches, small_side, spread, table
 
 BITS = 64
 SHINGLE = 3
@@ -327,7 +327,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 
 def op8_simhash(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents")).select(
+    return near_duplicates(spread(table(spark, sf_dir, "documents"))).select(
         F.col("doc").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("first.doc").alias("component_id"),
