@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialise, python_batches, small_side, table
+from .shared import free_name, materialise, python_batches, small_side, spread, table
 
 RUN_PIECES = 3
 RUN_WORDS = 20
@@ -216,7 +216,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 
 def op5_substring_dedup(spark, sf_dir):
-    return without_repeats(table(spark, sf_dir, "documents")).select(
+    return without_repeats(spread(table(spark, sf_dir, "documents"))).select(
         "doc_id",
         F.col("span_pieces").alias("n_pieces_changed"),
         F.col("span_removed").alias("n_removed"),
