@@ -301,10 +301,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return fps.join(of_fp, "fp")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest
-    doc id. Texts are not shuffled unless the list of those to go is large."""
-    found = near_duplicates(docs, key, text)
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", find=near_duplicates) -> DataFrame:
+    """``docs`` with one document of each component that ``find`` gives: that
+    with the smallest doc id. Texts are not shuffled unless the list of those
+    to go is large."""
+    found = find(docs, key, text)
     mine = (F.col("doc").eqNullSafe(F.col("first.doc"))) & (F.col("row_key") == F.col("first.row_key"))
     marks = materialise(
         found.groupBy("doc", "row_key").agg(F.min(mine).alias("mine"), F.count("*").alias("n")),
