@@ -1,12 +1,16 @@
-"""Substring dedup by sliding sentence spans.
-
-A text is cut into pieces: sentences, with very long ones cut further and very
-short ones joined, at places that their words alone decide, so that a passage
-is cut alike wherever it stands. Every run of consecutive pieces with at least
-``RUN_PIECES`` pieces and ``RUN_WORDS`` words is hashed (128 bits). Runs that
-occur more than once, in one text or in several, are found by a global join;
-of each, the first occurrence (by doc id, then place) stays, and pieces that
-any other occurrence covers are removed.
+"""Substring dedup by sliding spans of pieces.
+
+A text is cut into pieces after words that rank least in some window of
+``PIECE_WINDOW`` words (the last of equal ones; ends of sentences rank first,
+then ends of clauses, then the words' hashes). So words alone decide, those
+nearer than a window, and no stretch of a window's length is without a cut: of
+a passage all cuts but those in its first and last ``PIECE_WINDOW - 1`` words
+are the same wherever it stands, whatever stops and lines it has. Every run of
+consecutive pieces with at least ``RUN_WORDS`` words is hashed (128 bits). A
+passage of 4 * PIECE_WINDOW + RUN_WORDS - 3 = 49 words or more holds a whole
+run. Runs that occur more than once, in one text or in several, are found by a
+global join; of each, the first occurrence (by doc id, then place) stays, and
+pieces that any other occurrence covers are removed.
 
 The join works in two steps: 64-bit halves are counted first (with partial
 sums before the shuffle), and only runs whose half repeats are joined in full.
@@ -21,7 +25,6 @@ stay, whatever their names.
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
@@ -31,47 +34,47 @@ from pyspark.sql import functions as F
 
 from .shared import free_name, materialise, python_batches, small_side, spread, table
 
-RUN_PIECES = 3
 RUN_WORDS = 20
-#: Words of a piece: shorter sentences may be joined, longer ones are cut.
-PIECE_LEAST, PIECE_CUT, PIECE_MOST = 4, 6, 16
+#: A piece ends at least once in so many words.
+PIECE_WINDOW = 8
 BROADCAST_BYTES = 32 << 20
 
-_SENTENCE = re.compile(rb"[^.!?\n]*[.!?\n]+\s*|[^.!?\n]+$")
-_WORD = re.compile(rb"\S+\s*")
+_SPACE = np.zeros(256, bool)
+_SPACE[list(b" \t\n\r\x0b\f")] = True
+
+
+def _rank(word: bytes) -> int:
+    """Smaller is cut after sooner: ends of sentences, then of clauses, then others."""
+    last = word[-1:]
+    return zlib.crc32(word) | (0 if last in b".!?" else 1 if last in b",;:" else 2) << 32
+
+
+def _least(ranks: np.ndarray, window: int) -> np.ndarray:
+    """Whether a word has the last least rank of any ``window`` words on end."""
+    out = np.zeros(len(ranks), bool)
+    if len(ranks) >= window:
+        each = np.lib.stride_tricks.sliding_window_view(ranks[::-1], window)
+        out[len(ranks) - 1 - (each.argmin(axis=1) + np.arange(len(each)))] = True
+    return out
 
 
 def pieces(text: bytes) -> list[tuple[int, bytes, int]]:
     """(end, normalised words, number of words) of each piece, in order."""
-    out: list[tuple[int, bytes, int]] = []
-    held: list[bytes] = []
-    end = 0
-    for m in _SENTENCE.finditer(text):
-        sentence = m.group()
-        words = sentence.lower().split()
-        start, end = m.span()
-        if len(words) > PIECE_MOST:
-            at = start
-            for w in _WORD.finditer(text, start, end):
-                at = w.end()
-                held.append(w.group().rstrip().lower())
-                word = held[-1]
-                if at < end and (
-                    len(held) >= PIECE_MOST
-                    or len(held) >= PIECE_CUT
-                    and (word[-1:] in b",;:" or zlib.crc32(word) & 3 == 0)
-                ):
-                    out.append((at, b" ".join(held), len(held)))
-                    held = []
-        else:
-            held += words
-        if held and (len(words) >= PIECE_LEAST or zlib.crc32(held[-1]) & 3 == 0):
-            out.append((end, b" ".join(held), len(held)))
-            held = []
-    if held:
-        out.append((end, b" ".join(held), len(held)))
-    if out:
-        out[-1] = (len(text), *out[-1][1:])
+    low = text.lower()
+    words = low.split()
+    if not words:
+        return []
+    gap = _SPACE[np.frombuffer(low, np.uint8)]
+    starts = np.flatnonzero(~gap & np.concatenate(([True], gap[:-1])))
+    cut = _least(np.array([*map(_rank, words)]), PIECE_WINDOW)
+    cut[-1] = True
+    to = np.flatnonzero(cut) + 1
+    ends = np.append(starts, len(text))[to].tolist()
+    ends[-1] = len(text)
+    out, at = [], 0
+    for end, j in zip(ends, to.tolist(), strict=True):
+        out.append((end, b" ".join(words[at:j]), j - at))
+        at = j
     return out
 
 
@@ -79,10 +82,10 @@ def runs(cut: list[tuple[int, bytes, int]]) -> list[tuple[int, int]]:
     """(first piece, piece behind the last) of the shortest run from each piece."""
     found, j, words = [], 0, 0
     for i in range(len(cut)):
-        while j < len(cut) and (j - i < RUN_PIECES or words < RUN_WORDS):
+        while j < len(cut) and words < RUN_WORDS:
             words += cut[j][2]
             j += 1
-        if j - i < RUN_PIECES or words < RUN_WORDS:
+        if words < RUN_WORDS:
             break
         found.append((i, j))
         words -= cut[i][2]

@@ -109,3 +109,34 @@ def test_query_equals_brute_force(spark, data):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{data}/documents.parquet").collect()]
     got = {r.doc_id: (r.text, r.n_removed) for r in spans.op5_substring_dedup(spark, data).collect()}
     assert got == brute(rows)
+
+
+def holds_a_run(passage, *hosts):
+    """Whether the hosts (text before, text behind) share a run inside the passage."""
+    found = []
+    for before, behind in hosts:
+        text = " ".join(x for x in (before, passage, behind) if x).encode()
+        cut = spans.pieces(text)
+        found.append({b" ".join(c[1] for c in cut[i:j]) for i, j in spans.runs(cut)})
+    inside = " " + " ".join(passage.lower().split()) + " "
+    return any(f" {x.decode()} " in inside for x in set.intersection(*found))
+
+
+def short_lines(r, words, last):
+    out = []
+    while len(out) < words:
+        out += ["".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(r.randint(0, 2))] + [last + "\n"]
+    return " ".join(" ".join(out).split(" ")[:words])
+
+
+def test_lists_of_short_lines_with_one_closing_word(docs):
+    r = random.Random(31)
+    for last in ("no", "ok", "none", "usd", "yes", "of.", "x."):
+        for n in range(51, 81):
+            hosts = [(short_lines(r, r.randint(0, 40), last), short_lines(r, r.randint(0, 40), last)) for _ in range(2)]
+            assert holds_a_run(short_lines(r, n, last), *hosts), (last, n)
+    assert holds_a_run("of. " * 126, *[(prose(r, 60), prose(r, 60)) for _ in range(2)])
+    p = short_lines(r, 60, "usd")
+    rows = [(i, "\n".join([short_lines(r, 30, "usd"), p, short_lines(r, 30, "usd")])) for i in range(3)]
+    got = run(docs(*rows))
+    assert [got[i][1] > 0 for i in range(3)] == [False, True, True]
