@@ -140,3 +140,24 @@ def test_lists_of_short_lines_with_one_closing_word(docs):
     rows = [(i, "\n".join([short_lines(r, 30, "usd"), p, short_lines(r, 30, "usd")])) for i in range(3)]
     got = run(docs(*rows))
     assert [got[i][1] > 0 for i in range(3)] == [False, True, True]
+
+
+def sentences(r, words, least, most):
+    out = []
+    while len(out) < words + most:
+        s = ["".join(r.choices("abcdefghij", k=r.randint(2, 7))) for _ in range(r.randint(least, most))]
+        out += s[:-1] + [s[-1] + "."]
+    at = r.randint(0, most - 1) if most < words else 0
+    return " ".join(out[at : at + words])
+
+
+def test_passages_of_51_words_pasted_inside_a_sentence(docs):
+    r = random.Random(33)
+    for least, most in ((12, 16), (17, 30), (1, 40), (500, 500)):
+        for n in [*range(49, 56)] * 12:
+            hosts = [[sentences(r, r.randint(1, 40), least, most) for _ in "ab"] for _ in range(2)]
+            assert holds_a_run(sentences(r, n, least, most), *hosts), (least, most, n)
+    p = sentences(r, 51, 500, 500)
+    rows = [(i, " ".join([prose(r, 43), p, prose(r, 37)])) for i in range(40)]
+    got = run(docs(*rows))
+    assert got == brute(rows) and all(got[i][1] > 0 for i in range(1, 40))
