@@ -12,6 +12,10 @@ these links tells which candidate of each block is truly a record. A second
 pass walks every block from there. Records that cross blocks are put together
 from their fragments. Payloads are not shuffled, except such fragments.
 
+Both passes must see the same blocks. What decides on them (settings, and the
+number of cores) is therefore fixed in a session of its own when the reading
+begins, and a block that the first pass hasn't seen is an error.
+
 Defined results: a null or empty payload is a payload of 0 bytes; a null url
 gives no target header; a null page id is written as ``null``, read back as
 null, and refers to the smallest id of its payload (all are responses where no
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialise, new_folder, python_batches, small_side, table
+from .shared import BROADCAST_BYTES, materialise, new_folder, python_batches, small_side, table
 
 #: The marks of the format.
 VERSION = "WARC/1.1"
@@ -143,16 +147,18 @@ def header_of(chunk: bytes) -> tuple[int, dict[str, str], int] | None:
 
 
 def _chunks(batches):
-    """(file, block, place in the block, bytes) in order; the first chunk of a
-    file has the magic in front, as the others lost theirs to the cut."""
+    """(file, block, place in the block, bytes, *more) in order; the first chunk
+    of a file has the magic in front, as the others lost theirs to the cut. The
+    reader misses a cut that has line ends before it and crosses the end of a
+    block, so chunks are cut again."""
     at, now = 0, None
     for b in batches:
-        files, blocks, bodies = (b.column(i).to_pylist() for i in range(3))
-        for f, k, body in zip(files, blocks, bodies, strict=True):
+        for f, k, whole, *more in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if (f, k) != now:
                 now, at = (f, k), 0
-            yield f, k, at, body
-            at += len(body) + len(CUT)
+            for body in whole.split(CUT):
+                yield f, k, at, body, *more
+                at += len(body) + len(CUT)
 
 
 def _start(block: int, at: int, body: bytes) -> tuple[int, bytes] | None:
@@ -212,43 +218,43 @@ def _record(file: str, offset: int, chunk: bytes):
     return file, offset, list(fields.items()), http, block
 
 
-def _walk(batches):
-    """Records of blocks whose first true record is known, and fragments of
-    records that cross blocks. Input: file, block, body, base, entry."""
+def _walk(batches, whole: bool):
+    """Of blocks whose first true record is known: the records that lie in one
+    block if ``whole``, else the fragments of records that cross blocks. Input:
+    file, block, body, base, entry."""
 
     def rows():
-        at, now, due, held, need, owner = 0, None, None, [], 0, 0
-        for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(5)]
-            for f, k, body, base, entry in zip(*cols, strict=True):
-                if (f, k) != now:
-                    if held:  # the record goes on in another block
-                        yield (now[0], owner, owner, True, b"".join(held))
-                    now, at, due, held = (f, k), 0, entry, []
-                start = _start(k, at, body)
-                here = at
-                at += len(body) + len(CUT)
-                if held:
-                    held += [CUT, body]
-                    if sum(map(len, held)) >= need:
-                        yield (f, owner, None, False, b"".join(held))
-                        due, held = owner - base + need + 4, []
-                    continue
-                if start and start[0] == due and (h := header_of(start[1])):
-                    need, owner = h[0] + h[2], base + due
-                    if len(start[1]) >= need:
-                        yield (f, owner, None, False, start[1])
-                        due += need + 4
-                    else:
-                        held = [start[1]]
-                elif due is None or (entry is not None and here < entry):
-                    # what stands before the first true record belongs to an earlier one
-                    yield (f, None, base + here - len(MAGIC), False, MAGIC + body)
+        now, due, held, size, need, owner = None, None, [], 0, 0, 0
+        for f, k, at, body, base, entry in _chunks(batches):
+            if (f, k) != now:
+                if held:  # the record goes on in another block
+                    yield (now[0], owner, owner, True, b"".join(held))
+                now, due, held = (f, k), entry, []
+            if held:
+                held += [CUT, body]
+                size += len(CUT) + len(body)
+                if size >= need:
+                    yield (f, owner, None, False, b"".join(held))
+                    due, held = owner - base + need + 4, []
+                continue
+            start = _start(k, at, body)
+            if start and start[0] == due and (h := header_of(start[1])):
+                need, owner = h[0] + h[2], base + due
+                if len(start[1]) >= need:
+                    yield (f, owner, None, False, start[1])
+                    due += need + 4
+                else:
+                    held, size = [start[1]], len(start[1])
+            elif due is None or (entry is not None and at < entry):
+                # what stands before the first true record belongs to an earlier one
+                yield (f, None, base + at - len(MAGIC), False, MAGIC + body)
         if held:
             yield (now[0], owner, owner, True, b"".join(held))
 
     for f, off, place, open_, chunk in rows():
-        if place is None:
+        if (place is None) != whole:
+            continue
+        if whole:
             file, offset, fields, http, payload = _record(f, off, chunk)
             yield _one((file, offset, fields, http, payload, None, False))
         else:
@@ -290,6 +296,17 @@ def _assemble(batches):
         )
 
 
+def _fixed(spark: SparkSession) -> SparkSession:
+    """A session with the settings of ``spark``, in which files are always
+    split as they would be now."""
+    own = spark.newSession()
+    for k, v in spark.conf.getAll.items():
+        if spark.conf.isModifiable(k):
+            own.conf.set(k, v)
+    own.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+    return own
+
+
 def _raw(spark: SparkSession, path: str) -> DataFrame:
     chunks = spark.read.option("lineSep", CUT.decode()).text(path)
     return chunks.select(
@@ -310,8 +327,6 @@ def entries(links: DataFrame) -> DataFrame:
         "warc-blocks",
     )
     most = blocks.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    if most <= 1:
-        return blocks.withColumn("entry", F.lit(0).cast("long"))
     # merge joins: these tables grow with the records, however well they compress
     placed = links.filter(F.col("start").isNotNull()).hint("merge").join(blocks, ["file", "block"])
     jump = materialise(
@@ -327,7 +342,7 @@ def entries(links: DataFrame) -> DataFrame:
     known = jump.select("file", "block", "base", "at")
     reach = blocks.select("file").distinct().withColumn("at", F.lit(0).cast("long"))
     link = jump.select("file", "at", "to")
-    for _ in range(math.ceil(math.log2(most)) + 1):
+    for _ in range(math.ceil(math.log2(max(most, 1))) + 1):
         more = reach.join(link.hint("merge"), ["file", "at"]).select("file", F.col("to").alias("at"))
         reach = materialise(reach.union(more).distinct(), "warc-reach")
         far = link.select("file", F.col("at").alias("to"), F.col("to").alias("next"))
@@ -344,26 +359,30 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """All records below ``path``: file, offset, headers (lower-case names),
     http (head of an HTTP block) and payload."""
     python_batches(spark)
+    fixed = _fixed(spark)
     links = materialise(
-        _raw(spark, path).mapInArrow(_links, "file string, block long, start long, exit long"), "warc-links"
+        _raw(fixed, path).mapInArrow(_links, "file string, block long, start long, exit long"), "warc-links"
     )
     known = materialise(entries(links), "warc-entries")
     n = "n"
-    chunks = _raw(spark, path).withColumn(n, F.monotonically_increasing_id())
-    side = small_side(known)
-    joined = chunks.join(side, ["file", "block"])
+    chunks = _raw(fixed, path).withColumn(n, F.monotonically_increasing_id())
+    side = small_side(known, BROADCAST_BYTES, F.length("file") + 64)
+    joined = side.join(chunks, ["file", "block"], "right")
     if side is known:  # a shuffled join loses the order
         joined = joined.repartition("file", "block").sortWithinPartitions("file", "block", n)
-    walked = joined.select("file", "block", "body", "base", "entry").mapInArrow(
-        lambda batches: _batched(_walk(batches)), RECORD + ", place long, open boolean"
-    )
+    lost = F.raise_error(F.concat(F.lit("a block of an archive was not seen before: "), "file", F.lit(" "), "block"))
+    ready = joined.select("file", "block", "body", F.coalesce("base", lost.cast("long")).alias("base"), "entry")
+
+    def walked(whole):
+        return ready.mapInArrow(lambda batches: _batched(_walk(batches, whole)), RECORD + ", place long, open boolean")
+
     crossing = known.groupBy("file").count().filter("count > 1").limit(1).count()
-    whole = walked.filter(F.col("place").isNull()).drop("place", "open")
+    whole = walked(True).drop("place", "open")
     if not crossing:
         return whole
     # each fragment belongs to the last open record before it
     last = Window.partitionBy("file").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    parts = walked.filter(F.col("place").isNotNull()).withColumn(
+    parts = walked(False).withColumn(
         "owner", F.last(F.when(F.col("open"), F.col("offset")), ignorenulls=True).over(last)
     )
     joined_parts = (

@@ -101,3 +101,40 @@ def test_other_archives(spark, tmp_path):
     (tmp_path / "x/b.warc").write_bytes(record(b"two") + b"WARC/1.0\r\nbroken\r\n\r\n" + record(b"lost"))
     got = [(r.file[-6:], bytes(r.payload)) for r in warc.read_warc(spark, f"file://{tmp_path}/x").collect()]
     assert sorted(got) == [("a.warc", b""), ("a.warc", NASTY.encode()), ("a.warc", b"\xff\x00one"), ("b.warc", b"two")]
+
+
+def test_splits_stay_as_they_were_when_reading_began(spark, tmp_path):
+    rows = [(i, "u", f"{i} " + NASTY * (i % 9), "s") for i in range(400)]
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        records = back(spark, tmp_path, rows)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1100")
+        check(records, rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_a_block_that_was_not_seen_is_an_error(spark, tmp_path, monkeypatch):
+    plain = warc.entries
+    monkeypatch.setattr(warc, "entries", lambda links: plain(links).filter("block = 0"))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        with pytest.raises(Exception, match="not seen before"):
+            back(spark, tmp_path, [(i, "u", "text " * i, "s") for i in range(100)]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_long_payloads(spark, tmp_path):
+    rows = [(1, "u", "é\r\n\r\nWARC/1.1\r\n" * 200_000, "s"), (2, "u", "", "s"), (3, "u", "x" * 3_000_000, "s")]
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        check(back(spark, tmp_path, rows), rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
