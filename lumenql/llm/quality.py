@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import free_name, materialise, python_batches, table
+from .shared import free_name, materialise, python_batches, small_side, table
 
 CUTOFF = 0.7
 FOLDS, HELD = 4, 2
@@ -212,7 +212,11 @@ def scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", cutoff: float = CUTOFF):
     """``docs`` without the documents that score below ``cutoff``; texts go
     through the scorer in place and are never shuffled."""
-    model = fit(materialise(document_statistics(docs, key), "quality-stats"), labels)
+    of_doc = free_name(docs, "quality_doc")
+    named = labels.select(F.col("doc_id").cast("long").alias(of_doc)).distinct()
+    side = small_side(materialise(named, "quality-labels"))
+    known = docs.join(side, F.col(key).cast("long") == F.col(of_doc), "left_semi")
+    model = fit(document_statistics(known, key), labels)  # which reads labelled texts alone
     body = free_name(docs, "quality_body")
 
     def judge(batches):
@@ -229,7 +233,7 @@ def op2_quality(spark, sf_dir):
     found = scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select(
         F.col("doc").alias("doc_id"),
-        (fold_of("doc", FOLDS) == HELD).alias("held_out"),
+        F.coalesce(fold_of("doc", FOLDS) == HELD, F.lit(False)).alias("held_out"),
         "score",
         F.when(F.col("score") >= CUTOFF, 1).otherwise(0).cast("int").alias("predicted"),
     )

@@ -14,6 +14,11 @@ from pyspark.sql import functions as F
 #: bounded width, so this bounds its bytes as well).
 BROADCAST_ROWS = 1_000_000
 
+#: Bytes above which a join side whose rows have no bounded width is not
+#: broadcast, and bytes up to which a table of few files is dealt out anew.
+BROADCAST_BYTES = 64 << 20
+SPREAD_BYTES = 256 << 20
+
 #: The word classes of the contracts.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -27,19 +32,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its files give fewer tasks than there are (one
-    small file is one task, however much work its rows are). Tables of many
-    splits stay as they are."""
+def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
+    """``df``, of at most ``most`` bytes in files, over all cores if its files
+    give fewer tasks than there are (one small file is one task, however much
+    work its rows are). Larger tables stay as they are and aren't shuffled."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if size <= most and df.rdd.getNumPartitions() < cores else df
 
 
 def scratch(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``,
-    or a folder of our own where that is unset (single-machine tests)."""
+    or where that is unset, and driver and tasks are one process, a folder of
+    our own. On a cluster a folder of one machine won't do: that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lumenql-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
