@@ -6,15 +6,16 @@ then ends of clauses, then the words' hashes). So words alone decide, those
 nearer than a window, and no stretch of a window's length is without a cut: of
 a passage all cuts but those in its first and last ``PIECE_WINDOW - 1`` words
 are the same wherever it stands, whatever stops and lines it has. Every run of
-consecutive pieces with at least ``RUN_WORDS`` words is hashed (128 bits). A
+consecutive pieces with at least ``RUN_WORDS`` words is hashed (96 bits). A
 passage of 4 * PIECE_WINDOW + RUN_WORDS - 3 = 49 words or more holds a whole
 run. Runs that occur more than once, in one text or in several, are found by a
 global join; of each, the first occurrence (by doc id, then place) stays, and
 pieces that any other occurrence covers are removed.
 
-The join works in two steps: 64-bit halves are counted first (with partial
-sums before the shuffle), and only runs whose half repeats are joined in full.
-Whole texts are not shuffled unless the list of removals is large.
+The join works in two steps: the first 64 bits are counted (with partial sums
+before the shuffle), and only runs whose first bits repeat are joined in full.
+All joins are merge joins at every size, as their sides grow with the corpus;
+the one that brings removals to their texts shuffles each text once.
 
 Defined results: null and empty texts have no pieces and stay as they are; a
 text shorter than a run is never changed; rows that repeat doc id and text are
@@ -37,7 +38,6 @@ from .shared import free_name, materialise, python_batches, small_side, spread,
 RUN_WORDS = 20
 #: A piece ends at least once in so many words.
 PIECE_WINDOW = 8
-BROADCAST_BYTES = 32 << 20
 
 _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\f")] = True
@@ -103,8 +103,8 @@ def _hashes(batches):
             own = b"".join(xxhash.xxh3_128_digest(b" ".join(texts[i:j])) for i, j in runs(cut))
             both = np.frombuffer(own, np.int64).reshape(-1, 2)
             high.append(both[:, 0])
-            low.append(both[:, 1])
-        arrays = [pa.array(x, pa.list_(pa.int64())) for x in (high, low)]
+            low.append(both[:, 1].astype(np.int32))  # its low half
+        arrays = [pa.array(high, pa.list_(pa.int64())), pa.array(low, pa.list_(pa.int32()))]
         names = b.schema.names[:-1]
         yield pa.RecordBatch.from_arrays([*b.select(names).columns, *arrays], [*names, "h1", "h2"])
 
@@ -122,7 +122,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     own = docs.select(
         doc.alias("span_doc"), row.alias("span_row"), F.col(text).cast("binary").alias("body")
     )
-    own = own.mapInArrow(_hashes, "span_doc long, span_row long, h1 array<long>, h2 array<long>")
+    own = own.mapInArrow(_hashes, "span_doc long, span_row long, h1 array<long>, h2 array<int>")
     # whole copies of a row are one document: they must not repeat themselves
     spans = materialise(own.filter(F.size("h1") > 0), "span-hashes")
     copies = materialise(
@@ -181,18 +181,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     starts, doc, row, of_doc, of_row = (
         free_name(docs, n) for n in ("span_starts", "span_doc", "span_row", "span_of_doc", "span_of_row")
     )
-    side = small_side(
-        found.select(
-            F.col("span_doc").alias(of_doc), F.col("span_row").alias(of_row), F.col("starts").alias(starts)
-        ),
-        BROADCAST_BYTES,
-        F.size(starts) * 4 + 64,
+    side = found.select(
+        F.col("span_doc").alias(of_doc), F.col("span_row").alias(of_row), F.col("starts").alias(starts)
     )
     own = docs.drop("span_pieces", "span_removed").withColumns(
         dict(zip((doc, row), row_names(key, text), strict=True))
     )
     at = (F.col(row) == F.col(of_row)) & F.col(doc).eqNullSafe(F.col(of_doc))
-    joined = own.join(side, at, "left").drop(doc, row, of_doc, of_row)
+    joined = own.join(side.hint("merge"), at, "left").drop(doc, row, of_doc, of_row)
     kept = [c for c in docs.columns if c not in ("span_pieces", "span_removed")]
 
     def cut(batches):
