@@ -8,7 +8,7 @@ import sys
 from .engine import Engine, StatementError
 from .plans.dialect import statements
 from .session import session
-from .sources.delimited import grid
+from .sources.delimited import grid_lines
 
 
 def main(args: list[str]) -> int:
@@ -22,7 +22,8 @@ def main(args: list[str]) -> int:
     for s in statements(script):
         try:
             found = engine.execute(s)
-            print(grid(found) if found is not None else "done")
+            for line in ["done"] if found is None else grid_lines(found):
+                print(line)
         except StatementError as e:
             failed += 1
             print(f"error: {e}")

@@ -18,11 +18,26 @@ _MODEL = {
     "MI": "mm",
     "SS": "ss",
 }
+_PERCENT = {
+    "%Y": "yyyy",
+    "%y": "yy",
+    "%m": "MM",
+    "%d": "dd",
+    "%j": "DDD",
+    "%H": "HH",
+    "%M": "mm",
+    "%S": "ss",
+}
 _MODEL_PARTS = re.compile("|".join(sorted(_MODEL, key=len, reverse=True)), re.I)
 
 
 def date_pattern(model: str) -> str:
-    """A format model (``DD/MM/YYYY HH24:MI:SS``) as a Spark pattern."""
+    """A format model (``DD/MM/YYYY HH24:MI:SS`` or ``%d/%m/%Y %H:%M:%S``) as a
+    Spark pattern."""
+    if "%" in model:
+        if unknown := set(re.findall("%.?", model)) - _PERCENT.keys():
+            raise ValueError(f"not a part of a date model: {min(unknown)}")
+        return re.sub("%.", lambda m: _PERCENT[m.group()], model)
     return _MODEL_PARTS.sub(lambda m: _MODEL[m.group().upper()], model)
 
 

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterable
+from functools import reduce
+from operator import and_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import setops
@@ -12,19 +16,33 @@ class ChangeError(ValueError):
     pass
 
 
+def _named(df: DataFrame, names: Iterable[str]) -> list[str]:
+    """Columns of ``df``, named in any case."""
+    known = {c.lower(): c for c in df.columns}
+    if unknown := [n for n in names if n.lower() not in known]:
+        raise ChangeError(f"the table has no column {unknown[0]}")
+    return [known[n.lower()] for n in names]
+
+
 def insert_values(table: DataFrame, columns: list[str], rows: list[tuple]) -> DataFrame:
     """Append rows of literals; columns that aren't named are null."""
     fields = {f.name.lower(): f for f in table.schema.fields}
     if unknown := [c for c in columns if c.lower() not in fields]:
         raise ChangeError(f"the table has no column {unknown[0]}")
-    out = table
-    for row in rows:
-        if len(row) != len(columns):
-            raise ChangeError("as many values as columns are needed")
-        given = {c.lower(): v for c, v in zip(columns, row, strict=True)}
-        line = [F.lit(given.get(n)).cast(f.dataType).alias(f.name) for n, f in fields.items()]
-        out = out.unionByName(table.sparkSession.range(1).select(*line))
-    return out
+    if any(len(row) != len(columns) for row in rows):
+        raise ChangeError("as many values as columns are needed")
+    given = {}
+    for c, values in zip(columns, zip(*rows, strict=True), strict=False):
+        if any(isinstance(v, float) for v in values):
+            values = [float(v) if isinstance(v, int) else v for v in values]
+        if any(v is not None for v in values):
+            given[c.lower()] = values
+    if not given:
+        more = table.sparkSession.range(len(rows))
+    else:
+        more = table.sparkSession.createDataFrame(list(zip(*given.values(), strict=True)), list(given))
+    line = [(F.col(n) if n in given else F.lit(None)).cast(f.dataType).alias(f.name) for n, f in fields.items()]
+    return table.unionByName(more.select(*line))
 
 
 def insert_select(table: DataFrame, columns: list[str], source: DataFrame) -> DataFrame:
@@ -91,15 +109,33 @@ def merge(
     not_matched: dict[str, str] | None = None,
     not_matched_by_source: dict[str, object] | str | None = None,
 ) -> DataFrame:
-    """The new state of ``target``. ``on`` pairs target and source columns,
-    which must be unique in the source. ``matched`` sets target columns to
-    source columns, or is "DELETE"; ``not_matched`` gives the columns of rows to
-    insert; ``not_matched_by_source`` sets target columns to literals, or is
-    "DELETE"."""
-    s = source.select(*[F.col(c).alias(f"merge_s_{c}") for c in source.columns]).withColumn("merge_s", F.lit(True))
+    """The new state of ``target``. ``on`` pairs target and source columns;
+    names are taken in any case; a target row that several source rows match is an error when
+    the result is read. ``matched`` sets target columns to source columns, or is
+    "DELETE"; ``not_matched`` gives the columns of rows to insert;
+    ``not_matched_by_source`` sets target columns to literals, or is "DELETE"."""
+    on = dict(zip(_named(target, on), _named(source, on.values()), strict=True))
+    if isinstance(matched, dict):
+        matched = dict(zip(_named(target, matched), _named(source, matched.values()), strict=True))
+    if not_matched is not None:
+        not_matched = dict(zip(_named(target, not_matched), _named(source, not_matched.values()), strict=True))
+    if isinstance(not_matched_by_source, dict):
+        not_matched_by_source = dict(
+            zip(_named(target, not_matched_by_source), not_matched_by_source.values(), strict=True)
+        )
+    s = source.select(*[F.col(c).alias(f"merge_s_{c}") for c in source.columns])
+    keys = [F.col(f"merge_s_{c}") for c in on.values()]
+    keyed = reduce(and_, [k.isNotNull() for k in keys])
+    # rows with a null in the key match nothing and are not gathered by it
+    s = s.filter(keyed).withColumn("merge_s", F.count("*").over(Window.partitionBy(*keys))).unionByName(
+        s.filter(~keyed).withColumn("merge_s", F.lit(1).cast("long"))
+    )
     t = target.withColumn("merge_t", F.lit(True))
     cond = [F.col(a) == F.col(f"merge_s_{b}") for a, b in on.items()]
-    both = t.join(s, cond, "full")
+    several = F.raise_error(F.lit("several source rows match one row of the table")).cast("boolean")
+    both = t.join(s, cond, "full").filter(
+        F.when(F.col("merge_t").isNotNull() & (F.col("merge_s") > 1), several).otherwise(F.lit(True))
+    )
     hit = F.col("merge_t").isNotNull() & F.col("merge_s").isNotNull()
     only_t, only_s = F.col("merge_s").isNull(), F.col("merge_t").isNull()
     gone = F.lit(False)

@@ -80,6 +80,9 @@ def lt_some_subquery(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE (l_partkey, l_suppkey) IN (SELECT p_partkey, s_suppkey FROM part, supplier WHERE p_size = s_nationkey)")
 def tuple_in_subquery(spark, d):
-    pairs = t(spark, d, "part").join(t(spark, d, "supplier"), c("p_size") == c("s_nationkey"))
-    on = (c("l_partkey") == c("p_partkey")) & (c("l_suppkey") == c("s_suppkey"))
-    return t(spark, d, "lineitem").join(pairs, on, "left_semi").select("l_orderkey", "l_linenumber", "l_partkey")
+    # by the keys of either table, which are unique: their pairs would be many
+    sizes = t(spark, d, "part").select("p_partkey", "p_size")
+    homes = t(spark, d, "supplier").select("s_suppkey", "s_nationkey")
+    found = t(spark, d, "lineitem").join(sizes, c("l_partkey") == c("p_partkey"))
+    found = found.join(homes, (c("l_suppkey") == c("s_suppkey")) & (c("p_size") == c("s_nationkey")))
+    return found.select("l_orderkey", "l_linenumber", "l_partkey")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,7 +25,7 @@ def _converted(value: Column, declared: str, size: int, date_format: str | None)
         if date_format:
             return F.to_timestamp_ntz(given, F.lit(date_format))
         return given.cast("timestamp_ntz")
-    return F.substring(F.rtrim(value), 1, size) if size > 1 else F.rtrim(value)
+    return F.substring(F.rtrim(value), 1, size) if size > 0 else F.rtrim(value)
 
 
 def load_delimited(
@@ -91,14 +93,24 @@ def write_answer(df: DataFrame, path: str, sep: str = "; ") -> None:
     answer_lines(df, sep).write.mode("overwrite").text(f"{path}/1-rows")
 
 
-def grid(df: DataFrame, rows: int = 20) -> str:
-    """The first rows as an aligned grid for a console."""
-    text = as_text(df).limit(rows).collect()
-    cells = [df.columns, *[list(r) for r in text]]
-    width = [max(len(str(r[i])) for r in cells) for i in range(len(df.columns))]
+def grid_lines(df: DataFrame, rows: int | None = None) -> Iterator[str]:
+    """An aligned grid for a console, line by line: all rows, or the first
+    ``rows`` and how many there are besides."""
+    text = as_text(df)
+    facts = text.agg(F.count("*"), *[F.max(F.length(f"`{c}`")) for c in text.columns]).first()
+    width = [max(len(c), n or 0) for c, n in zip(df.columns, facts[1:], strict=True)]
     line = lambda r: "| " + " | ".join(str(v).ljust(w) for v, w in zip(r, width, strict=True)) + " |"
     rule = "+" + "+".join("-" * (w + 2) for w in width) + "+"
-    return "\n".join([rule, line(cells[0]), rule, *map(line, cells[1:]), rule])
+    yield from (rule, line(df.columns), rule)
+    shown = text if rows is None else text.limit(rows)
+    yield from map(line, shown.toLocalIterator())
+    yield rule
+    if rows is not None and facts[0] > rows:
+        yield f"and {facts[0] - rows} more rows"
+
+
+def grid(df: DataFrame, rows: int | None = None) -> str:
+    return "\n".join(grid_lines(df, rows))
 
 
 def write_rows(df: DataFrame, path: str) -> None:

@@ -49,8 +49,14 @@ URLS = {
 
 
 def catalog_type(vendor: str, declared: str) -> str:
-    """The catalog type of a vendor's type; text where there is no mapping."""
-    return TYPES[vendor.lower()].get(declared.upper(), "VARCHAR2")
+    """The catalog type of a vendor's type; text where there is no mapping. A
+    number with a fraction is a DOUBLE whatever the table of types says."""
+    kinds, name = TYPES[vendor.lower()], declared.upper().replace(" ", "")
+    plain, _, size = name.partition("(")
+    kind = kinds.get(name) or kinds.get(plain, "VARCHAR2")
+    exact = plain in ("NUMERIC", "NUMBER", "DECIMAL")
+    whole = size.endswith(",0)") or size and "," not in size
+    return "DOUBLE" if exact and kind == "NUMBER" and not whole else kind
 
 
 def url(vendor: str, host: str, database: str) -> str:
