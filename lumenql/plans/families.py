@@ -12,3 +12,5 @@ from . import (  # noqa: F401
     subqueries,
     windowed,
 )
+
+statements.add_twins()

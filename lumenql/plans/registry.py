@@ -33,6 +33,10 @@ def query(sql: str | None, name: str | None = None):
     return keep
 
 
+def registered(name: str) -> Query:
+    return _all[name]
+
+
 def _load() -> None:
     from . import families  # noqa: F401
 
