@@ -2,11 +2,12 @@
 
 Texts are folded (A-Z to lower case) and cut into alphanumeric words. A window
 is ``n`` consecutive words of a benchmark item; an item with fewer words, but
-not none, is one window. Document windows are hashed and looked up in the hash
-set, hits are verified against the windows' words, and a document word inside a
-verified window is *hit*. All of it is JVM expressions: the set travels to the
-tasks as an ``IN`` set, which is bounded by ``CHUNK`` windows; a larger
-benchmark is probed chunk by chunk, so that no window is left out.
+not none, is one window. The hash set is a table with a row for each window. It
+is broadcast if it has at most ``SET_ROWS`` rows (two longs each); a larger one
+is joined by its hashes. Document windows are exploded as (text, place, hash)
+and probe it once, whatever its size; what hits is gathered for each different
+text, joined back to the documents and verified there against the words, and a
+document word inside a verified window is *hit*. All of it is JVM expressions.
 
 Defined results: null and empty texts have no words, are never hit and hit
 nothing; null and repeated items count as items of their own (null ids are
@@ -16,16 +17,16 @@ are judged one by one; extra columns stay, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ALNUM_GAP, LOWER, UPPER, free_name, materialise, small_side, table, words
+from .shared import ALNUM_GAP, BROADCAST_BYTES, LOWER, UPPER, free_name, materialise, small_side, table, words
 
 N = 13
 #: A document is contaminated if at least 1 / SHARE of its words are hit.
 SHARE = 20
-#: Windows in one hash set.
-CHUNK = 100_000
+#: Rows above which the hash set is not broadcast (some 50 bytes each in memory).
+SET_ROWS = 2_000_000
 
 
 def item_windows(bench: DataFrame, n: int = N, text: str = "text", item: str = "item_id"):
@@ -43,42 +44,60 @@ def item_windows(bench: DataFrame, n: int = N, text: str = "text", item: str = "
     return each.groupBy("window", "len").agg(F.collect_set("item").alias("items"))
 
 
-def _set(values: list, kind: str) -> str:
-    if kind == "string":  # words have no quote or backslash
-        return ", ".join(f"'{v}'" for v in values)
-    return ", ".join(f"{v}L" for v in values)
-
-
-def _hits(w: str, windows: list) -> str:
-    """SQL for the verified hits in the words ``w``: array of (at, len)."""
-    found = []
-    for length in sorted({x.len for x in windows}):
-        own = [x for x in windows if x.len == length]
-        hashes = _set(sorted({x.hash for x in own}), "long")
-        texts = _set(sorted(x.window for x in own), "string")
-        starts = f"if(size({w}) < {length}, array(), sequence(1, size({w}) - {length - 1}))"
-        probed = f"filter({starts}, i -> xxhash64(slice({w}, i, {length})) IN ({hashes}))"
-        sure = f"filter({probed}, i -> array_join(slice({w}, i, {length}), ' ') IN ({texts}))"
-        found.append(f"transform({sure}, i -> struct(i AS at, {length} AS len))")
-    if not found:
-        return "cast(array() AS array<struct<at: int, len: int>>)"
-    return found[0] if len(found) == 1 else f"concat({', '.join(found)})"
-
-
-def _each(text: str, hits: str, body: str) -> str:
-    """SQL for ``body`` over w (words of a text) and h (its hits). Both are bound
-    as lambda variables, so each is computed once for a row wherever the
-    optimizer moves the expression."""
-    w = (
-        f"array_remove(split(translate(coalesce(`{text}`, ''), '{UPPER}', '{LOWER}'), r'{ALNUM_GAP}'), '')"
-    )
-    return f"get(transform(array({w}), w -> get(transform(array({hits}), h -> {body}), 0)), 0)"
+def _words(text: str) -> str:
+    return f"array_remove(split(translate(coalesce(`{text}`, ''), '{UPPER}', '{LOWER}'), r'{ALNUM_GAP}'), '')"
 
 
-#: SQL over h: places of hit words, and their number.
-_COVERED = "array_distinct(flatten(transform(h, x -> sequence(x.at, x.at + x.len - 1))))"
-_N_HIT = f"if(size(h) = 0, 0L, cast(size({_COVERED}) AS long))"
+def _bound(value: str, name: str, body: str) -> str:
+    """SQL for ``body`` over ``name``, a lambda variable: its value is computed
+    once for a row wherever the optimizer moves the expression."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _text_keys(text: str) -> list[Column]:
+    """128 bits that name a text: hits depend on nothing else of a row."""
+    own = F.coalesce(F.col(text), F.lit(""))
+    return [F.xxhash64(own), F.xxhash64(F.lit("deco"), own)]
+
+
+def _bytes(array: str, value: str) -> Column:
+    return F.expr(f"aggregate({array}, 48L, (a, x) -> a + 40L + coalesce(octet_length({value}), 0))")
+
+
+#: SQL over h: the number of hit words, from windows in order of their places.
+_N_HIT = """aggregate(array_sort(h), named_struct('n', 0L, 'upto', 0L), (a, x) -> named_struct(
+    'n', a.n + greatest(0L, x.at + x.len - greatest(cast(x.at AS long), a.upto)),
+    'upto', greatest(a.upto, cast(x.at + x.len AS long)))).n"""
 _BAD = f"size(h) > 0 AND {SHARE} * {_N_HIT} >= size(w)"
+#: SQL over h: places of hit words.
+_COVERED = "array_distinct(flatten(transform(h, x -> sequence(x.at, x.at + x.len - 1))))"
+
+
+def text_hits(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
+    """(k1, k2, hits): by text, the places (at, len) whose hash is a window's,
+    with the window, as yet unverified."""
+    lens = sorted(r.len for r in windows.select("len").distinct().collect())  # at most n
+    places = [
+        f"""if(size(v) < {n}, array(), transform(sequence(1, size(v) - {n - 1}),
+            i -> struct(i AS at, {n} AS len, xxhash64(slice(v, i, {n})) AS hash)))"""
+        for n in lens
+    ] or ["array(struct(0 AS at, 0 AS len, 0L AS hash))"]
+    all_places = places[0] if len(places) == 1 else f"concat({', '.join(places)})"
+    hashed = _bound(f"transform({_words(text)}, x -> xxhash64(x))", "v", all_places)
+    k1, k2 = _text_keys(text)
+    # in a projection of its own: exploded rows carry no texts; outer: an inferred
+    # filter on the array's size would compute it twice
+    own = docs.select(k1.alias("k1"), k2.alias("k2"), F.expr(hashed).alias("places"))
+    probes = own.select("k1", "k2", F.explode_outer("places").alias("p"))
+    found = probes.select("k1", "k2", "p.at", "p.len", "p.hash").join(
+        small_side(windows.select("hash").distinct(), SET_ROWS), "hash", "left_semi"
+    )
+    named = windows.select("hash", "window")
+    weight = F.octet_length("window") + 48
+    sure = found.join(small_side(named, BROADCAST_BYTES, weight), "hash")
+    return materialise(
+        sure.groupBy("k1", "k2").agg(F.collect_set(F.struct("at", "len", "window")).alias("hits")), "deco-hits"
+    )
 
 
 def with_hits(
@@ -88,41 +107,32 @@ def with_hits(
     n: int = N,
     text: str = "text",
     item: str = "item_id",
+    others: bool = False,
 ) -> tuple[DataFrame, str, DataFrame]:
-    """``docs`` with a struct of ``bodies`` (SQL over w and h), the struct's
-    name, and the benchmark's windows."""
-    deco = free_name(docs, "deco")
-    windows = materialise(
-        item_windows(bench, n, text, item).withColumn("hash", F.xxhash64(F.split("window", " "))),
-        "bench-windows",
+    """``docs`` with a struct of ``bodies`` (SQL over w, the words, and h, the
+    verified hits), the struct's name, and the benchmark's windows. Documents
+    without a hit have a null struct, or, with ``others``, theirs."""
+    deco, k1, k2, hits = (free_name(docs, x) for x in ("deco", "deco_k1", "deco_k2", "deco_hits"))
+    hashed = F.xxhash64(F.transform(F.split("window", " "), lambda x: F.xxhash64(x)))
+    windows = materialise(item_windows(bench, n, text, item).withColumn("hash", hashed), "bench-windows")
+    found = text_hits(docs, windows, text).toDF(k1, k2, hits)
+    one, two = _text_keys(text)
+    joined = docs.withColumns({k1: one, k2: two}).join(
+        small_side(found, BROADCAST_BYTES, _bytes(hits, "x.window")), [k1, k2], "left"
     )
+    own = f"coalesce({hits}, array())" if others else hits
+    sure = f"filter({own}, x -> array_join(slice(w, x.at, x.len), ' ') = x.window)"
     body = f"named_struct({', '.join(f'{k!r}, {v}' for k, v in bodies.items())})"
-    count = windows.count()
-    if count <= CHUNK:
-        own = windows.select("window", "len", "hash").collect()
-        return docs.withColumn(deco, F.expr(_each(text, _hits("w", own), body))), deco, windows
-    # A larger set goes over the documents in bounded parts, joined by a row key
-    # that is fixed by a written table.
-    key = free_name(docs, "deco_key")
-    keyed = materialise(docs.withColumn(key, F.monotonically_increasing_id()), "deco-docs")
-    parts = -(-count // CHUNK) + 1
-    numbered = windows.withColumn("part", F.pmod("hash", F.lit(parts)))
-    found = None
-    for part in range(parts):
-        own = numbered.filter(F.col("part") == part).select("window", "len", "hash").collect()
-        some = keyed.select(key, F.explode(F.expr(_each(text, _hits("w", own), "h"))).alias("hit"))
-        found = some if found is None else found.unionByName(some)
-    hits = free_name(docs, "deco_hits")
-    grouped = found.groupBy(key).agg(F.collect_list("hit").alias(hits))
-    own = f"coalesce(`{hits}`, cast(array() AS array<struct<at: int, len: int>>))"
-    joined = keyed.join(grouped, key, "left")
-    return joined.withColumn(deco, F.expr(_each(text, own, body))).drop(key, hits), deco, windows
+    each = _bound(_words(text), "w", _bound(sure, "h", body))
+    if not others:
+        each = f"if({hits} IS NULL, NULL, {each})"
+    return joined.withColumn(deco, F.expr(each)).drop(k1, k2, hits), deco, windows
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, n: int = N) -> DataFrame:
     """``docs`` without its contaminated documents, columns as they were."""
     marked, deco, _ = with_hits(docs, bench, {"bad": _BAD}, n)
-    return marked.filter(~F.col(f"{deco}.bad")).select(*docs.columns)
+    return marked.filter(~F.coalesce(f"{deco}.bad", F.lit(False))).select(*docs.columns)
 
 
 def remove_spans(docs: DataFrame, bench: DataFrame, n: int = N, text: str = "text") -> DataFrame:
@@ -135,19 +145,21 @@ def remove_spans(docs: DataFrame, bench: DataFrame, n: int = N, text: str = "tex
 
 def contamination(docs: DataFrame, bench: DataFrame, n: int = N, key: str = "doc_id") -> DataFrame:
     """For each document: n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = "array_distinct(transform(h, x -> array_join(slice(w, x.at, x.len), ' ')))"
+    found = "array_distinct(transform(h, x -> x.window))"
     marked, _, windows = with_hits(
         docs.select(key, "text"),
         bench,
         {"n_words": "cast(size(w) AS long)", "n_hit": _N_HIT, "bad": _BAD, "found": found},
         n,
+        others=True,
     )
     row = "deco_row"
     rows = marked.select(F.monotonically_increasing_id().alias(row), key, "deco")
     each = rows.select(
         row, key, "deco.n_words", "deco.n_hit", "deco.bad", F.explode_outer("deco.found").alias("window")
     )
-    owners = small_side(windows.select("window", "items"))
+    weight = _bytes("items", "x") + F.octet_length("window")
+    owners = small_side(windows.select("window", "items"), BROADCAST_BYTES, weight)
     grouped = (
         each.join(owners, "window", "left")
         .groupBy(row, key, "n_words", "n_hit", "bad")

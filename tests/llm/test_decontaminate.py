@@ -53,7 +53,7 @@ def bench(spark):
     return spark.createDataFrame(ITEMS, "item_id long, text string")
 
 
-def found(df):
+def compared(df):
     import hashlib
 
     sha = lambda ids: hashlib.sha256(",".join(ids).encode()).hexdigest()
@@ -63,13 +63,14 @@ def found(df):
 
 
 def test_equals_brute_force(docs, bench):
-    got, want = found(deco.contamination(docs(*ROWS), bench))
+    got, want = compared(deco.contamination(docs(*ROWS), bench))
     assert got == want and any(w[5] for w in want) and sum(w[2] > 0 and not w[5] for w in want) == 2
 
 
-def test_large_benchmarks_go_in_parts(docs, bench, monkeypatch):
-    monkeypatch.setattr(deco, "CHUNK", 3)
-    got, want = found(deco.contamination(docs(*ROWS), bench))
+def test_large_benchmarks_are_joined_by_hash(docs, bench, monkeypatch):
+    monkeypatch.setattr(deco, "SET_ROWS", 3)
+    monkeypatch.setattr(deco, "BROADCAST_BYTES", 1)
+    got, want = compared(deco.contamination(docs(*ROWS), bench))
     assert got == want
 
 
@@ -96,3 +97,32 @@ def test_empty_tables(docs, bench, spark):
 def test_no_python_in_the_plan(docs, bench):
     plan = deco.contamination(docs(*ROWS), bench)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_hits_of_equal_hashes_are_verified(docs, bench, monkeypatch):
+    found = deco.text_hits
+
+    def more(d, windows, text):  # each text also claims a window that it hasn't
+        extra = F.struct(F.lit(1).alias("at"), F.lit(3).alias("len"), F.lit("not its words").alias("window"))
+        claimed = d.select(*(c.alias(k) for c, k in zip(deco._text_keys(text), ("k1", "k2"), strict=True))).distinct()
+        both = claimed.join(found(d, windows, text), ["k1", "k2"], "left")
+        return both.select("k1", "k2", F.array_append(F.coalesce("hits", F.expr("array()")), extra).alias("hits"))
+
+    monkeypatch.setattr(deco, "text_hits", more)
+    got, want = compared(deco.contamination(docs(*ROWS), bench))
+    assert got == want
+
+
+def test_a_very_long_text_made_of_a_benchmark_item(docs, bench):
+    (r,) = deco.contamination(docs((1, (LONG + " ") * 3000)), bench).collect()
+    assert (r.n_words, r.n_hit, r.n_items, r.contaminated) == (60000, 60000, 2, True)
+
+
+def test_a_large_benchmark_takes_one_pass(docs, spark):
+    many = spark.range(2000).select(
+        F.col("id").alias("item_id"),
+        F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat(F.lit("w"), F.col("id"), F.lit("x"), i)), " ").alias("text"),
+    )
+    own = " ".join(f"w77x{i}" for i in range(5, 30))
+    (r,) = deco.contamination(docs((1, own)), many).collect()
+    assert (r.n_words, r.n_hit, r.n_items) == (25, 25, 1)
