@@ -77,19 +77,22 @@ def text_hits(docs: DataFrame, windows: DataFrame, text: str) -> DataFrame:
     """(k1, k2, hits): by text, the places (at, len) whose hash is a window's,
     with the window, as yet unverified."""
     lens = sorted(r.len for r in windows.select("len").distinct().collect())  # at most n
-    places = [
-        f"""if(size(v) < {n}, array(), transform(sequence(1, size(v) - {n - 1}),
-            i -> struct(i AS at, {n} AS len, xxhash64(slice(v, i, {n})) AS hash)))"""
+    v = "transform(sequence(1, size(v) - {less}), i -> xxhash64({own}))"
+    hashes = [
+        f"struct({n} AS len, if(size(v) < {n}, array(), "
+        + v.format(less=n - 1, own=", ".join(f"get(v, i + {k - 1})" for k in range(n)))
+        + ") AS hashes)"
         for n in lens
-    ] or ["array(struct(0 AS at, 0 AS len, 0L AS hash))"]
-    all_places = places[0] if len(places) == 1 else f"concat({', '.join(places)})"
-    hashed = _bound(f"transform({_words(text)}, x -> xxhash64(x))", "v", all_places)
+    ] or ["struct(0 AS len, array(0L) AS hashes)"]
+    all_hashes = _bound(f"transform({_words(text)}, x -> xxhash64(x))", "v", f"array({', '.join(hashes)})")
     k1, k2 = _text_keys(text)
     # in a projection of its own: exploded rows carry no texts; outer: an inferred
     # filter on the array's size would compute it twice
-    own = docs.select(k1.alias("k1"), k2.alias("k2"), F.expr(hashed).alias("places"))
-    probes = own.select("k1", "k2", F.explode_outer("places").alias("p"))
-    found = probes.select("k1", "k2", "p.at", "p.len", "p.hash").join(
+    own = docs.select(k1.alias("k1"), k2.alias("k2"), F.expr(all_hashes).alias("own"))
+    own = own.select("k1", "k2", F.explode_outer("own").alias("own"))
+    places = own.select("k1", "k2", "own.len", F.posexplode_outer("own.hashes").alias("at", "hash"))
+    probes = places.withColumn("at", F.col("at") + 1)
+    found = probes.join(
         small_side(windows.select("hash").distinct(), SET_ROWS), "hash", "left_semi"
     )
     named = windows.select("hash", "window")
