@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import like
+from ..operators.windows import numbered
 from .registry import query, table as t
 
 c = F.col
@@ -188,42 +188,39 @@ def bool_is_true(spark, d):
 # takes one task, and so is done on dimension tables.
 
 
-def _placed(df, *order):
-    return df.withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+# Results carry the place of each row: tables are sorted whole.
 
 
-@query("SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal NULLS FIRST, s_suppkey) AS place FROM supplier")
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice NULLS FIRST, o_orderkey) AS place FROM orders")
 def order_by(spark, d):
-    s = t(spark, d, "supplier").select("s_suppkey", "s_acctbal").orderBy("s_acctbal", "s_suppkey")
-    return _placed(s, "s_acctbal", "s_suppkey")
+    return numbered(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", "o_orderkey")
 
 
-@query("SELECT s_suppkey AS k, s_acctbal * 2 AS twice, row_number() OVER (ORDER BY s_acctbal * 2, s_suppkey) AS place FROM supplier")
+@query("SELECT o_orderkey AS k, o_totalprice * 2 AS twice, row_number() OVER (ORDER BY o_totalprice * 2, o_orderkey) AS place FROM orders")
 def order_by_alias(spark, d):
-    s = t(spark, d, "supplier").select(c("s_suppkey").alias("k"), (c("s_acctbal") * 2).alias("twice"))
-    return _placed(s.orderBy("twice", "k"), "twice", "k")
+    o = t(spark, d, "orders").select(c("o_orderkey").alias("k"), (c("o_totalprice") * 2).alias("twice"))
+    return numbered(o, "twice", "k")
 
 
-@query("SELECT n_regionkey, n_nationkey, row_number() OVER (ORDER BY n_regionkey, n_nationkey) AS place FROM nation")
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) AS place FROM orders")
 def order_by_ordinal(spark, d):
-    n = t(spark, d, "nation").select("n_regionkey", "n_nationkey")
-    return _placed(n.orderBy(1, 2), "n_regionkey", "n_nationkey")
+    o = t(spark, d, "orders").select("o_custkey", "o_orderkey")
+    return numbered(o, *(c(o.columns[n - 1]) for n in (1, 2)))
 
 
-@query("SELECT s_suppkey, s_acctbal, row_number() OVER (ORDER BY s_acctbal DESC NULLS LAST, s_suppkey) AS place FROM supplier")
+@query("SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS place FROM orders")
 def order_by_desc(spark, d):
-    s = t(spark, d, "supplier").select("s_suppkey", "s_acctbal")
-    return _placed(s.orderBy(c("s_acctbal").desc(), "s_suppkey"), c("s_acctbal").desc(), "s_suppkey")
+    return numbered(t(spark, d, "orders").select("o_orderkey", "o_totalprice"), c("o_totalprice").desc(), "o_orderkey")
 
 
 @query(
-    """SELECT n_nationkey, n, row_number() OVER (ORDER BY n NULLS FIRST, n_nationkey) AS place FROM nation LEFT JOIN
-    (SELECT s_nationkey, count(*) AS n FROM supplier WHERE s_nationkey < 10 GROUP BY s_nationkey) ON n_nationkey = s_nationkey"""
+    """SELECT c_custkey, n, row_number() OVER (ORDER BY n NULLS FIRST, c_custkey) AS place FROM customer LEFT JOIN
+    (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey"""
 )
 def order_by_nulls_first(spark, d):
-    few = t(spark, d, "supplier").filter(c("s_nationkey") < 10).groupBy("s_nationkey").agg(F.count("*").alias("n"))
-    g = t(spark, d, "nation").join(few, c("n_nationkey") == c("s_nationkey"), "left").select("n_nationkey", "n")
-    return _placed(g.orderBy(c("n").asc_nulls_first(), "n_nationkey"), c("n").asc_nulls_first(), "n_nationkey")
+    sums = t(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    g = t(spark, d, "customer").join(sums, c("c_custkey") == c("o_custkey"), "left").select("c_custkey", "n")
+    return numbered(g, c("n").asc_nulls_first(), "c_custkey")
 
 
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")

@@ -5,7 +5,7 @@ from lumenql.operators import dml, setops
 from lumenql.operators.grouping import with_multiplicity
 from lumenql.operators.joins import range_join
 from lumenql.operators.quantified import compare_quantified
-from lumenql.operators.windows import FIRST, HERE, LAST, frame
+from lumenql.operators.windows import FIRST, HERE, LAST, frame, numbered
 
 
 def rows(df):
@@ -102,3 +102,15 @@ def test_merge(spark, kv):
     assert rows(gone) == [(2, -1), (None, -1)]
     only = dml.merge(kv, news, {"k": "id"}, None, None, "DELETE")
     assert rows(only) == [(1, 10)]
+
+
+def test_places_need_no_single_task(spark):
+    values = [(i * 7919 % 500 if i % 3 else None, i) for i in range(900)]
+    df = spark.createDataFrame(values, "v int, i int")
+    got = {r.i: r.place for r in numbered(df, F.col("v").asc_nulls_first(), "i").collect()}
+    order = sorted(values, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [got[i] for _, i in order] == list(range(1, 901))
+    down = {r.i: r.place for r in numbered(df, F.col("v").desc_nulls_last(), "i").collect()}
+    order = sorted(values, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert [down[i] for _, i in order] == list(range(1, 901))
+    assert numbered(df.limit(0), "v").collect() == []
