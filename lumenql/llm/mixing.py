@@ -201,6 +201,21 @@ def mix(
     )
 
 
+def emit(mixed: DataFrame, text: str = "text") -> DataFrame:
+    """The mix itself: a row of ``mix`` for each repetition that it takes, with
+    the columns of the input and ``mix_copy`` (from 1). The texts' words sum to
+    ``mix_taken``: whole texts stay as they are, the one that a source's target
+    cuts short has its first words, joined by single spaces. Documents of which
+    nothing is taken give no row."""
+    copy, last = F.col("mix_copy"), F.col("mix_taken") - (F.col("mix_copy") - 1) * F.col("mix_size")
+    times = F.ceil(F.col("mix_taken") / F.col("mix_size")).cast("int")
+    each = mixed.drop("mix_copy").filter("mix_taken > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), times)))
+    some = F.slice(F.regexp_extract_all(text, F.lit(f"({SPACE_WORD})")), F.lit(1), last.cast("int"))
+    whole = copy * F.col("mix_size") <= F.col("mix_taken")
+    each = each.withColumn(text, F.when(whole, F.col(text)).otherwise(F.array_join(some, " ")))
+    return each.drop("mix_size", "mix_source_size", "mix_target", "mix_taken")
+
+
 def op10_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select(
         "doc_id",

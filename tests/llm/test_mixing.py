@@ -69,3 +69,25 @@ def test_caps_nulls_repeats_and_empty_sources(spark):
 
 def test_many_sources(spark):
     check(spark, [(i, "w " * (i % 17), f"s{i % 97}", 0, "x") for i in range(600)])
+
+
+def test_the_mix_is_emitted(spark):
+    rows = [(i, "  ".join(f"d{i}w{k}" for k in range(i % 9)), "abc"[i % 3 and i % 2], i, "x") for i in range(60)]
+    rows += [(100, None, None, 0, None), (101, "", "a", 0, None), (102, "long " * 50000, "c", 0, None)]
+    mixed = mixing.mix(make(spark, rows))
+    taken = {r.doc_id: (r.mix_taken, r.mix_size) for r in mixed.collect()}
+    out = mixing.emit(mixed)
+    assert out.columns == ["doc_id", "text", "source", "bucket", "mix_copy"]
+    got, texts = {}, {i: t for i, t, *_ in rows}
+    for r in out.collect():
+        own = r.text.split()
+        got[r.doc_id] = got.get(r.doc_id, 0) + len(own)
+        assert own == texts[r.doc_id].split()[: len(own)]
+        n, size = taken[r.doc_id]
+        assert r.mix_copy * size > n or r.text == texts[r.doc_id]
+    assert got == {i: n for i, (n, _) in taken.items() if n}
+    assert mixing.emit(mixing.mix(make(spark, []))).collect() == []
+
+
+def test_hot_and_null_ids(spark):
+    check(spark, [(7, "same id " * (i % 5), "a", 0, "") for i in range(300)] + [(None, "no id", None, 0, "")] * 200)
