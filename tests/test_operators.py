@@ -54,6 +54,32 @@ def test_range_join_is_a_theta_join(spark):
     assert rows(got) == rows(want)
 
 
+def test_range_join_of_odd_values_and_few_hot_ones(spark, monkeypatch):
+    inf, nan = float("inf"), float("nan")
+    edges = [None, nan, inf, -inf, 0.0, -0.0, 1e300, -1e300, 1e-300, 5e-324, 7.0, 7.25, 1e17, 900.0]
+    points = spark.createDataFrame([(x,) for x in edges] + [(900.0 + k % 7,) for k in range(300)], "x double")
+    ranges = spark.createDataFrame([(x, y) for x in edges for y in edges], "lo double, hi double")
+    want = points.join(ranges, (F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))).select("x", "lo", "hi")
+    for share in (1 << 26, 100):  # whole and shared cells
+        monkeypatch.setattr("lumenql.operators.joins.SHARE_PAIRS", share)
+        for width in (None, 50):
+            got = range_join(points, F.col("x"), ranges, F.col("lo"), F.col("hi"), width).select("x", "lo", "hi")
+            assert repr(rows(got)) == repr(rows(want))  # nan differs from itself
+
+
+def test_range_join_deals_points_of_one_bucket_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr("lumenql.operators.joins.SHARE_PAIRS", 10_000)
+    points = spark.range(2000).select((F.col("id") % 10 + 900).cast("double").alias("x"))
+    ranges = spark.range(200).select((F.col("id") % 10 + 890).cast("double").alias("lo"))
+    got = range_join(points, F.col("x"), ranges, F.col("lo"), F.col("lo") + 25, 50)
+    tasks = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(t[1] for t in tasks) == 400_000
+    assert max(t[1] for t in tasks) < 200_000
+    # a range of a million widths is filed under a few cells
+    wide = spark.createDataFrame([(0.0, 5e13)], "lo double, hi double")
+    assert range_join(points, F.col("x"), wide, F.col("lo"), F.col("hi"), 50).count() == 2000
+
+
 def test_set_operations(spark):
     a = spark.createDataFrame([(1,), (1,), (2,), (3,)], "k int")
     b = spark.createDataFrame([(2,), (2,), (4,)], "j int")
